@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sharding
+from . import attribution, decontaminate, packing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op4_packing": packing.op4_packing,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op10_token_counts": attribution.op10_token_counts,
 }
 
 ORACLE_SQL = {
