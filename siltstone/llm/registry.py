@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import attribution, decontaminate, packing, sharding
+from . import attribution, decontaminate, language, packing, sharding, token_files
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_language_id": language.op3_language_id,
     "op4_packing": packing.op4_packing,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op9_token_files": token_files.op9_token_files,
     "op10_token_counts": attribution.op10_token_counts,
 }
 
