@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import attribution, decontaminate, language, packing, sharding, token_files
+from . import attribution, decontaminate, language, packing, sharding, token_files, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_topk": topk.op2_topk,
     "op3_language_id": language.op3_language_id,
     "op4_packing": packing.op4_packing,
     "op7_decontaminate": decontaminate.op7_decontaminate,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_topk": topk.OP2_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
 }
