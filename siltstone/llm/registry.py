@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import attribution, decontaminate, language, packing, sharding, token_files, topk
+from . import attribution, decontaminate, language, lattice, packing, sharding, token_files, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_topk": topk.op2_topk,
     "op3_language_id": language.op3_language_id,
     "op4_packing": packing.op4_packing,
+    "op6_lattice": lattice.op6_lattice,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_token_files": token_files.op9_token_files,
     "op10_token_counts": attribution.op10_token_counts,
