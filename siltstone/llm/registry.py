@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attribution, decontaminate, language, lattice, packing, sharding, token_files, topk
+from . import attribution, decontaminate, language, lattice, neardup, packing, sharding, token_files, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op6_lattice": lattice.op6_lattice,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_neardup": neardup.op8_neardup,
     "op9_token_files": token_files.op9_token_files,
     "op10_token_counts": attribution.op10_token_counts,
 }
