@@ -89,13 +89,15 @@ class _Sums:
                 return x, y
         return None
 
-    def complement(self, gap: int, first: int) -> tuple[int, ...] | None:
-        """One, two or three lengths that fill `gap` exactly besides one `first`."""
+    def complement(self, gap: int, first: int, most: int) -> tuple[int, ...] | None:
+        """One, two or three lengths, `most` at most, that fill `gap` exactly besides one `first`."""
         used = {first: 1}
         if self.left[gap] - used.get(gap, 0) >= 1:
             return (gap,)
-        if found := self.pair(gap, used):
+        if most > 1 and (found := self.pair(gap, used)):
             return found
+        if most < 3:
+            return None
         if self.gone >= self.STALE:
             here = (self.left > 0).astype(np.float64)
             n = len(here)
@@ -113,7 +115,20 @@ def plan_packing(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int,
     """Rows (length, first rank, pieces, first sequence, offset, copies in a sequence) and the number of sequences.
 
     The pieces of a length with ranks from first rank on go to the sequences from first sequence on,
-    `copies` to each, side by side from `offset`."""
+    `copies` to each, side by side from `offset`.  Exact complements of up to three lengths are tried
+    first; if the residuals then need more sequences than with smaller complements, those are used."""
+    least = -(-sum(length * n for length, n in counts.items()) // capacity)
+    best = None
+    for most in (3, 2, 1, 0):
+        plan = _plan(counts, capacity, most)
+        if best is None or plan[1] < best[1]:
+            best = plan
+        if best[1] <= least:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -123,7 +138,7 @@ def plan_packing(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int,
         left[capacity] = 0
     sums = _Sums(left)
     for first in range(capacity - 1, 0, -1):
-        while left[first] > 0 and (found := sums.complement(capacity - first, first)):
+        while most and left[first] > 0 and (found := sums.complement(capacity - first, first, most)):
             need: dict[int, int] = {}
             for x in (first, *found):
                 need[x] = need.get(x, 0) + 1

@@ -391,9 +391,11 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     return mixed.select("k", "t", "rest", "whole", "masks").unionByName(whole.select("k", "t", "rest", "whole", "masks"))
 
 
-def _finish(rows: DataFrame, key: str, carry: tuple[str, ...], length: int, digest: bool) -> DataFrame:
-    """Results of every row: counts and the hash of what stays, or what stays."""
-    schema = f"k {rows.schema['k'].dataType.simpleString()}, rest {rows.schema['rest'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"
+def _finish(rows: DataFrame, key: str, carry: tuple[str, ...], length: int, form: str) -> DataFrame:
+    """Results of every row: counts and what stays."""
+    kinds = {"bytes": (pa.binary(), "binary", bytes), "text": (pa.string(), "string", lambda x: x.decode("utf-8", "ignore")), "sha256": (pa.string(), "string", lambda x: hashlib.sha256(x).hexdigest())}
+    kind, sql, made = kinds[form]
+    schema = f"k {rows.schema['k'].dataType.simpleString()}, rest {rows.schema['rest'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept {sql}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -411,20 +413,21 @@ def _finish(rows: DataFrame, key: str, carry: tuple[str, ...], length: int, dige
                 n.append(len(raw))
                 gone.append(len(raw) - len(left))
                 spans.append(len(cut))
-                kept.append(hashlib.sha256(left).hexdigest() if digest else left)
+                kept.append(made(left))
             yield pa.RecordBatch.from_arrays(
-                [b.column("k"), b.column("rest"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string() if digest else pa.binary())],
+                [b.column("k"), b.column("rest"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, kind)],
                 ["k", "rest", "n_bytes", "n_removed", "n_spans", "kept"])
 
     out = rows.select("k", "t", "rest", "whole", "masks").mapInArrow(run, schema)
     return out.select(F.col("k").alias(key), *[F.col(f"rest.c{j}").alias(c) for j, c in enumerate(carry)], "n_bytes", "n_removed", "n_spans", "kept")
 
 
-def kept_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), digest: bool = False, group: int = GROUP) -> DataFrame:
-    """(key, carried columns, n_bytes, n_removed, n_spans, kept) of every row; kept is the remaining bytes, or with `digest` their SHA-256."""
-    return _finish(remove_repeats(df, key, text, length, carry, group), key, carry, length, digest)
+def kept_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), form: str = "bytes", group: int = GROUP) -> DataFrame:
+    """(key, carried columns, n_bytes, n_removed, n_spans, kept) of every row; kept is the remaining bytes, as form says:
+    `bytes`, `text` (of a character that a cut divides nothing stays) or their `sha256`."""
+    return _finish(remove_repeats(df, key, text, length, carry, group), key, carry, length, form)
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without their repeated strings of 400 bytes."""
-    return kept_bytes(read_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+    return kept_bytes(read_table(spark, sf_dir, "documents"), form="sha256").withColumnRenamed("kept", "kept_sha256")
