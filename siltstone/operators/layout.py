@@ -74,7 +74,5 @@ def segments(packed: DataFrame, size: int = 1 << 20) -> DataFrame:
 def header_bytes(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row, header_bytes: 16 and for each file 18, its name's bytes and 12 a chunk."""
     names = files.select(F.sum(F.octet_length("filename").cast("long") + 18).alias("n"))
-    pairs = chunks.select((F.count("*") * 12).alias("c"))
-    return names.join(pairs, how="full").select((F.coalesce("n", F.lit(0)) + F.coalesce("c", F.lit(0)) + 16).cast("long").alias("header_bytes"))
-
-
+    pairs = chunks.select((F.count("*") * 12).alias("n"))
+    return names.unionByName(pairs).select((F.coalesce(F.sum("n"), F.lit(0)) + 16).cast("long").alias("header_bytes"))
