@@ -57,6 +57,27 @@ def held_out(key):
     return F.coalesce(F.crc32(F.encode(key.cast("string"), "UTF-8")) % 7 == 2, F.lit(True))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 16384) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches: the lattice works on many words at once."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+class _Numbers(dict):
+    """Numbers keys in order of first sight."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Vocabulary:
     """Pieces that can be in a word, byte pieces, the end piece, and their log probabilities."""
 
@@ -237,7 +258,7 @@ def _list_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
 
         base, nth = TaskContext.get().partitionId() << 32, 0
         keys, held, sizes, lists, weight = [], [], [], [], 0
-        numbers: dict[str, int] = {}
+        numbers = _Numbers()
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal keys, held, sizes, lists, weight, numbers, nth
@@ -260,7 +281,7 @@ def _list_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block]), pa.array([None], pa.string()), none(1, pa.int32()), pa.array([len(held) - sum(held)], pa.int64()),
                  pa.array([keys], pa.list_(key_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32()))], names)
-            keys, held, sizes, lists, weight, numbers, nth = [], [], [], [], 0, {}, nth + 1
+            keys, held, sizes, lists, weight, numbers, nth = [], [], [], [], 0, _Numbers(), nth + 1
 
         names = ["block", "word", "rows", "times", "keys", "held", "sizes"]
         keys_type = None
@@ -268,7 +289,7 @@ def _list_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
             keys_type = b.schema.field("k").type
             for k, t, h in zip(b.column("k").to_pylist(), b.column("t").to_pylist(), b.column("h").to_pylist(), strict=True):
                 words = words_of(t)
-                lists.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
+                lists.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
                 keys.append(k)
                 held.append(h)
                 sizes.append(len(words))
@@ -295,7 +316,7 @@ def score_texts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, sums = Lattice(first.value), 0.0
-        for b in batches:
+        for b in _gathered(batches):
             sums = sums + machine.expect(b.column("word").to_pylist(), b.column("c").to_numpy().astype(float))
         if isinstance(sums, np.ndarray):
             i = np.flatnonzero(sums)
@@ -311,7 +332,7 @@ def score_texts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Lattice(learned.value)
-        for b in batches:
+        for b in _gathered(batches):
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(machine.score(b.column("word").to_pylist()) / math.log(10))], ["word", "c", "log"])
 
     priced = materialise(counts.mapInArrow(price, "word string, c long, log double"), "prices")
