@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 # Suffix and first byte of the compressed forms that can be read.
 SNIFF = {".gz": 0x1F, ".bz2": 0x42, ".7z": 0x37, ".rar": 0x52, ".lz4": 0x04}
+#: Codecs whose files can be recognised when read again; lz4 here is a frame with the recognised first byte.
+SUFFIXES = {"gzip": ".gz", "bzip2": ".bz2", "lz4": ".lz4"}
 #: Known by name, but no library for them is here.
 ABSENT = ("7z", "rar", "lha")
 
@@ -36,13 +38,25 @@ def _arrow(name: str):
     return (lambda x: pa.compress(x, codec=name, asbytes=True)), (lambda x, n: pa.decompress(x, n, codec=name, asbytes=True))
 
 
+def _lz4_pack(raw: bytes) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.CompressedOutputStream(out, "lz4") as f:
+        f.write(raw)
+    return out.getvalue().to_pybytes()
+
+
+def _lz4_unpack(raw: bytes) -> bytes:
+    with pa.CompressedInputStream(pa.BufferReader(raw), "lz4") as f:
+        return f.read()
+
+
 CODECS = {
     "gzip": (lambda x: gzip.compress(x, mtime=0), lambda x, n: gzip.decompress(x)),
     "bzip2": (bz2.compress, lambda x, n: bz2.decompress(x)),
     "zip": (_zip, lambda x, n: _unzip(x)),
     "zlib": (zlib.compress, lambda x, n: zlib.decompress(x)),
     "lzma": (lzma.compress, lambda x, n: lzma.decompress(x)),
-    "lz4": _arrow("lz4"),
+    "lz4": (_lz4_pack, lambda x, n: _lz4_unpack(x)),
     "zstd": _arrow("zstd"),
 }
 

@@ -71,10 +71,12 @@ class Archive:
     def restored(self) -> DataFrame:
         return layout.restore(self.recipes, self.packed)
 
-    def write(self, path: str) -> None:
-        from ..sources.container import write_container
+    def write(self, path: str, mode: str = "errorifexists", codec: str | None = None) -> str:
+        """Write the container, compressed by a codec if one is named; returns the file's path."""
+        from ..sources.container import compress_container, write_container
 
-        write_container(self.files, self.recipes, self.packed, fresh_path(self.files.sparkSession, "parts"), path)
+        write_container(self.files, self.recipes, self.packed, fresh_path(self.files.sparkSession, "parts"), path, mode)
+        return compress_container(path, codec) if codec else path
 
     def stats(self) -> DataFrame:
         """One row: files, bytes, chunks, unique chunks and bytes, header and container bytes."""

@@ -46,8 +46,17 @@ def _parts(df: DataFrame, order: list[str], folder: str, tag: str) -> DataFrame:
     return ordered.select(*order, "raw").mapInArrow(run, "tag string, part int, path string, bytes long, rows long")
 
 
-def write_container(files: DataFrame, recipe: DataFrame, packed: DataFrame, folder: str, path: str) -> None:
-    """files (file_id, file_ord, filename), recipe (file_id, seq, packed_offset, chunk_size), packed (packed_offset, data).  Names keep at most 65,535 bytes by the format."""
+def _exists(path: str) -> bool:
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path)
+    return store.get_file_info(place).type != fs.FileType.NotFound
+
+
+def write_container(files: DataFrame, recipe: DataFrame, packed: DataFrame, folder: str, path: str, mode: str = "errorifexists") -> None:
+    """files (file_id, file_ord, filename), recipe (file_id, seq, packed_offset, chunk_size), packed (packed_offset, data).  Names keep at most 65,535 bytes by the format.  mode: `errorifexists` or `overwrite`."""
+    if mode == "errorifexists" and _exists(path):
+        raise FileExistsError(path)
     pair = F.struct("seq", "packed_offset", "chunk_size")
     listed = recipe.groupBy("file_id").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
     heads = files.select("file_id", "file_ord", "filename").join(listed, "file_id", "left")
@@ -70,7 +79,7 @@ def write_container(files: DataFrame, recipe: DataFrame, packed: DataFrame, fold
 
     store, place = fs.FileSystem.from_uri(path)
     store.create_dir(place.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(place) as out:
+    with store.open_output_stream(place, compression=None) as out:
         out.write(struct.pack("<II", MAGIC, sum(r["rows"] for r in rows if r["tag"] == "head")))
         for tag in ("head", "data"):
             if tag == "data":
@@ -78,7 +87,7 @@ def write_container(files: DataFrame, recipe: DataFrame, packed: DataFrame, fold
             for r in rows:
                 if r["tag"] == tag:
                     part_store, name = fs.FileSystem.from_uri(r["path"])
-                    with part_store.open_input_stream(name) as f:
+                    with part_store.open_input_stream(name, compression=None) as f:
                         while block := f.read(8 << 20):
                             out.write(block)
 
@@ -113,7 +122,7 @@ class ContainerReader(DataSourceReader):
         from pyarrow import fs
 
         store, name = fs.FileSystem.from_uri(partition.value)
-        with store.open_input_stream(name) as f:
+        with store.open_input_stream(name, compression=None) as f:
             files, _ = parse_header(f)
         for i, (filename, size, pairs) in enumerate(files):
             for k, (offset, length) in enumerate(pairs or [(None, None)]):
@@ -153,10 +162,72 @@ def restore_container(spark: SparkSession, path: str) -> DataFrame:
             for place, pairs in zip(b.column("container").to_pylist(), b.column("pairs").to_pylist(), strict=True):
                 store, name = fs.FileSystem.from_uri(place)
                 if place not in starts:
-                    with store.open_input_stream(name) as f:
+                    with store.open_input_stream(name, compression=None) as f:
                         starts[place] = parse_header(f)[1]
                 with store.open_input_file(name) as f:
                     out.append(b"".join(f.read_at(p["chunk_size"], starts[place] + p["packed_offset"]) for p in pairs if p["chunk_size"]))
             yield pa.RecordBatch.from_arrays([b.column("filename"), b.column("file_size"), b.column("chunk_count"), pa.array(out, pa.binary())], ["filename", "file_size", "chunk_count", "data"])
 
     return listed.mapInArrow(run, "filename string, file_size long, chunk_count long, data binary")
+
+
+def compress_container(path: str, name: str) -> str:
+    """Compress a container by a codec whose form can be recognised; returns the new file's path."""
+    from pyarrow import fs
+
+    from ..operators.codecs import SUFFIXES, codec
+
+    suffix = SUFFIXES[name]
+    store, place = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(place, compression=None) as f:
+        raw = f.read()
+    with store.open_output_stream(place + suffix, compression=None) as out:
+        out.write(codec(name)[0](raw))
+    return path + suffix
+
+
+def restore_archive(spark: SparkSession, path: str, scratch: str) -> DataFrame:
+    """Restore a container, compressed or not.  A compressed one is taken if its name's suffix and its first byte agree, else refused."""
+    from pyarrow import fs
+
+    from ..operators.codecs import SNIFF, SUFFIXES, codec
+
+    names = {suffix: name for name, suffix in SUFFIXES.items()}
+    suffix = next((x for x in SNIFF if path.endswith(x)), None)
+    if suffix:
+        store, place = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(place, compression=None) as f:
+            raw = f.read()
+        if suffix not in names or raw[:1] != bytes([SNIFF[suffix]]):
+            raise ValueError(f"{path} isn't what its name says, or can't be read here")
+        path = f"{scratch}/{uuid.uuid4().hex}.bin"
+        store, place = fs.FileSystem.from_uri(path)
+        store.create_dir(place.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(place, compression=None) as out:
+            out.write(codec(names[suffix])[1](raw, None))
+    return restore_container(spark, path)
+
+
+def write_files(restored: DataFrame, folder: str, mode: str = "errorifexists") -> DataFrame:
+    """Write (filename, data) under a folder by the restore rule; returns (filename, path, written).  A name that climbs out isn't written, and in the default mode neither is one that is there."""
+    from .payloads import restore_path_column
+
+    named = restored.select("filename", restore_path_column(F.col("filename")).alias("path"), "data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            done = []
+            for path, data in zip(b.column("path").to_pylist(), b.column("data").to_pylist(), strict=True):
+                place = f"{top}/{path}"
+                ok = bool(path) and (mode == "overwrite" or store.get_file_info(place).type == fs.FileType.NotFound)
+                if ok:
+                    store.create_dir(place.rpartition("/")[0], recursive=True)
+                    with store.open_output_stream(place, compression=None) as out:
+                        out.write(data or b"")
+                done.append(ok)
+            yield pa.RecordBatch.from_arrays([b.column("filename"), b.column("path"), pa.array(done, pa.bool_())], ["filename", "path", "written"])
+
+    return materialise(named.mapInArrow(run, "filename string, path string, written boolean"), "files")

@@ -30,6 +30,34 @@ def test_container(spark):
     assert s["container_bytes"] == len(open(path.removeprefix("file://"), "rb").read())
 
 
+def test_compressed_container(spark, tmp_path):
+    a = Archive(files(spark))
+    for codec in ("gzip", "bzip2", "lz4"):
+        path = a.write(f"file://{tmp_path}/{codec}.bin", codec=codec)
+        got = container.restore_archive(spark, path, f"file://{tmp_path}/scratch")
+        assert {r["filename"]: bytes(r["data"]).decode() for r in got.collect()} == {f"f/{k}": v or "" for k, v in ROWS}
+    with pytest.raises(FileExistsError):
+        a.write(f"file://{tmp_path}/gzip.bin")
+    (tmp_path / "x.gz").write_bytes(b"BZh")
+    with pytest.raises(ValueError):
+        container.restore_archive(spark, f"file://{tmp_path}/x.gz", f"file://{tmp_path}/scratch")
+
+
+def test_written_files(spark, tmp_path):
+    df = spark.createDataFrame([("../x/./y", b"1"), ("a/../../b", b"2"), ("c", b"3")], "filename string, data binary")
+    got = {r["filename"]: r["written"] for r in container.write_files(df, f"file://{tmp_path}").collect()}
+    assert got == {"../x/./y": True, "a/../../b": False, "c": True}
+    assert (tmp_path / "x" / "y").read_bytes() == b"1" and not (tmp_path.parent / "b").exists()
+    assert not any(r["written"] for r in container.write_files(df, f"file://{tmp_path}").collect())
+
+
+def test_journal(spark, tmp_path):
+    a = Archive(files(spark))
+    for _ in range(2):
+        a.journal(str(tmp_path / "runs"))
+    assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
+
+
 def test_empty(spark):
     a = Archive(files(spark).where("file_id < 0"))
     assert a.restored().count() == 0 and a.stats().first()["container_bytes"] == 16
