@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.storage import fresh_path, materialise, partitions, shared_dir
+
+__all__ = ["fresh_path", "materialise", "partitions", "read_table", "shared_dir", "small_batches"]
+
 #: Rows and bytes in one Arrow batch handed to Python; whole texts are long, so the defaults are too many.
 ARROW_ROWS = 512
 ARROW_BYTES = 16 << 20
@@ -17,42 +18,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Keep Arrow batches of whole texts small; smaller settings of the session stay."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
         now = int(spark.conf.get(key).rstrip("bB"))
         if not 0 < now <= most:
             spark.conf.set(key, most)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.  Only where that is unset
-    (tests on one machine) a local folder is made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    local = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    sc.setCheckpointDir(local)
-    return local
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write a frame as a Parquet table in the shared folder and read it back: later stages don't
-    depend on what lost executors held, and values that depend on the partitioning stay fixed."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
