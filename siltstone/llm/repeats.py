@@ -18,7 +18,7 @@ it covers is removed.  Matches never cross texts.
    A statistic of WIDE or more marks a window that occurs elsewhere.
 4. Marks go back to the texts, whose covered bytes are removed.
 
-Groups of more than `GROUP` different compressed texts are not gathered in one task: there the windows
+`LENGTH` may be any from 128 bytes on.  Groups of more than `GROUP` different compressed texts are not gathered in one task: there the windows
 themselves are counted by 128-bit hash.  Hashes stand for equality only at 128 bits.
 
 Defined cases: a null text counts as empty: nothing is removed; texts shorter than LENGTH lose nothing;

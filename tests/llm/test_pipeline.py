@@ -48,16 +48,16 @@ def test_near_duplicates(stages):
 def test_repeats(stages):
     before, after = {r.doc_id: r.text for r in stages["near_duplicates"]}, {r.doc_id: r for r in stages["repeated_passages"]}
     assert set(before) == set(after)
-    seen = {}
+    size, seen = p.PASSAGE, {}
     for t in before.values():
         raw = t.encode()
-        for i in range(len(raw) - 399):
-            seen[raw[i : i + 400]] = seen.get(raw[i : i + 400], 0) + 1
+        for i in range(len(raw) - size + 1):
+            seen[raw[i : i + size]] = seen.get(raw[i : i + size], 0) + 1
     for k, t in before.items():
         raw = t.encode()
-        hit = [(i, i + 1) for i in range(len(raw) - 399) if seen[raw[i : i + 400]] > 1]
+        hit = [(i, i + 1) for i in range(len(raw) - size + 1) if seen[raw[i : i + size]] > 1]
         at, out = 0, b""
-        for s, e in repeats.covered(hit):
+        for s, e in repeats.covered(hit, size):
             out, at = out + raw[at:s], e
         want = (out + raw[at:]).decode("utf-8", "ignore")
         assert after[k].text == want and after[k].n_chars == len(want)
