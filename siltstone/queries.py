@@ -15,8 +15,8 @@ from .sources import payloads
 from .sources.container import restore_container
 from .streaming.ingest import ingest_available
 
-#: The longest payload that asymmetric extremum leaves whole.
-AE_WHOLE = 4759
+#: The longest payload that asymmetric extremum leaves whole, and its least chunk but for a text's last two.
+AE_WHOLE, AE_LEAST = 4759, 4767
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,8 +27,9 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     return payloads.from_table(_docs(spark, sf), "doc_id", "text")
 
 
-def _short(spark: SparkSession, sf: str) -> DataFrame:
-    return _files(spark, sf).where(F.octet_length("data") <= AE_WHOLE)
+def _whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as one chunk: what SQL can follow."""
+    return chunking.chunk(_files(spark, sf), "whole")
 
 
 def _hex(c: str = "chunk_hash"):
@@ -61,7 +62,7 @@ def totals_rollup(spark, sf):
 
 
 def job_stats(spark, sf):
-    return Archive(_short(spark, sf)).stats()
+    return Archive(_files(spark, sf), "whole").stats()
 
 
 def conversation_files(spark, sf):
@@ -84,11 +85,22 @@ def _roundtrip(spark, sf, method, files=None):
     return _sized(listed.select("file_id", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.data))").alias("data")))
 
 
-def ae_whole(spark, sf):
-    c = chunking.chunk(_short(spark, sf), "ae")
+def whole_chunks(spark, sf):
+    c = _whole(spark, sf)
     return c.select(F.col("file_id").alias("doc_id"), _long("seq").alias("seq"), "src_offset", _long("chunk_size").alias("chunk_size"), _hex().alias("h"))
 
 
+def _bounds(chunks: DataFrame, whole: int, least: int, most: int, tail: int) -> DataFrame:
+    """(file_id, n, within): short files are one chunk; but for the last `tail`, chunks keep within the bounds."""
+    size = chunks.groupBy("file_id").agg(F.max("seq").alias("last"), F.sum(_long("chunk_size")).alias("n"))
+    ok = F.when(F.col("n") <= whole, F.col("last") == 0).otherwise((F.col("seq") > F.col("last") - tail) | F.col("chunk_size").between(least, most))
+    return chunks.join(size, "file_id").groupBy("file_id").agg(F.max("n").alias("n"), F.min(ok).alias("within"))
+
+
+def ae_bounds(spark, sf):
+    return _bounds(chunking.chunk(_files(spark, sf), "ae"), AE_WHOLE, AE_LEAST, 1 << 31, 2).withColumnRenamed("file_id", "doc_id")
+
+
 def ae_roundtrip(spark, sf):
     return _roundtrip(spark, sf, "ae")
 
@@ -102,59 +114,58 @@ def pages_roundtrip(spark, sf):
     return _roundtrip(spark, sf, "rabin", files).withColumnRenamed("doc_id", "page_id")
 
 
-def rabin_small(spark, sf):
-    c = chunking.chunk(_files(spark, sf).where(F.octet_length("data") <= 2048), "rabin")
-    return c.groupBy("file_id").agg(F.count("*").alias("chunks"), F.sum(_long("chunk_size")).alias("n")).withColumnRenamed("file_id", "doc_id")
+def rabin_bounds(spark, sf):
+    return _bounds(chunking.chunk(_files(spark, sf), "rabin"), 2048, 2048, 65536, 1).withColumnRenamed("file_id", "doc_id")
 
 
-def rabin_bounds(spark, sf):
-    """Chunks of each source's documents as one file: all but the last within the bounds."""
+def rabin_source_bounds(spark, sf):
+    """The same for the documents of each source as one file."""
     d = payloads.from_parts(_docs(spark, sf).withColumn("s", F.expr("cast(substring(source, 4) as bigint)")), "s", "doc_id", "text")
-    c = chunking.chunk(d, "rabin")
-    last = c.groupBy("file_id").agg(F.max("seq").alias("last"), F.sum(_long("chunk_size")).alias("n"))
-    ok = (F.col("seq") == F.col("last")) | F.col("chunk_size").between(2048, 65536)
-    return c.join(last, "file_id").groupBy(F.col("file_id").alias("source_no")).agg(F.max("n").alias("n"), F.min(ok).alias("within"))
+    return _bounds(chunking.chunk(d, "rabin"), 2048, 2048, 65536, 1).withColumnRenamed("file_id", "source_no")
 
 
 # duplicates
 
 
 def dedup_first(spark, sf):
-    u = dedup.unique_chunks(chunking.chunk(_short(spark, sf), "ae"))
+    u = dedup.unique_chunks(_whole(spark, sf))
     return u.select(_hex().alias("h"), F.col("file_id").alias("doc_id"), _long("chunk_size").alias("n"), F.col("occurrences"))
 
 
 def dup_occurrences(spark, sf):
-    c = dedup.with_first(chunking.chunk(_short(spark, sf), "ae")).where("not is_unique")
+    c = dedup.with_first(_whole(spark, sf)).where("not is_unique")
     return c.select(F.col("file_id").alias("doc_id"), F.col("first_file").alias("first_doc"), _hex().alias("h"))
 
 
 def dup_group_sizes(spark, sf):
-    u = dedup.unique_chunks(chunking.chunk(_short(spark, sf), "ae"))
+    u = dedup.unique_chunks(_whole(spark, sf))
     return u.groupBy(F.col("occurrences").alias("size")).agg(F.count("*").alias("groups"))
 
 
 def dedup_by_lang(spark, sf):
     d = _docs(spark, sf)
-    c = dedup.with_first(chunking.chunk(_short(spark, sf), "ae")).join(d.select(F.col("doc_id").alias("file_id"), "lang"), "file_id")
+    c = dedup.with_first(_whole(spark, sf)).join(d.select(F.col("doc_id").alias("file_id"), "lang"), "file_id")
     return c.groupBy("lang").agg(
         F.count("*").alias("occurrences"), F.count(F.when(F.col("is_unique"), 1)).alias("uniques"), F.sum(_long("chunk_size")).alias("bytes"),
         F.coalesce(F.sum(F.when(F.col("is_unique"), _long("chunk_size"))), F.lit(0)).alias("unique_bytes"))
 
 
 def index_lookup(spark, sf):
-    c = chunking.chunk(_short(spark, sf), "ae")
+    c = _whole(spark, sf)
     index = dedup.unique_chunks(c).select("chunk_hash", F.col("file_id").alias("first_doc"))
     return dedup.lookup(c, index).select(F.col("file_id").alias("doc_id"), "first_doc")
 
 
 def last_position(spark, sf):
-    return dedup.last_position(chunking.chunk(_short(spark, sf), "ae")).select(_hex().alias("h"), F.col("file_ord").alias("last_doc"))
+    return dedup.last_position(_whole(spark, sf)).select(_hex().alias("h"), F.col("file_ord").alias("last_doc"))
 
 
 def new_vs_base(spark, sf):
-    c = chunking.chunk(_short(spark, sf), "ae")
-    return dedup.new_against(c.where("file_id % 2 = 1"), c.where("file_id % 2 = 0")).select(F.col("file_id").alias("doc_id"), _hex().alias("h"))
+    """The labelled documents are the base; which of the others are new?"""
+    c = _whole(spark, sf)
+    known = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("file_id"))
+    fresh = dedup.new_against(c.join(known, "file_id", "left_anti"), c.join(known, "file_id", "left_semi"))
+    return fresh.select(F.col("file_id").alias("doc_id"), _hex().alias("h"))
 
 
 def stream_ingest(spark, sf):
@@ -167,11 +178,11 @@ def stream_ingest(spark, sf):
 
 
 def layout_arrival(spark, sf):
-    return Archive(_short(spark, sf)).layout.select(_hex().alias("h"), "layout_ord", "packed_offset", _long("chunk_size").alias("n"))
+    return Archive(_files(spark, sf), "whole").layout.select(_hex().alias("h"), "layout_ord", "packed_offset", _long("chunk_size").alias("n"))
 
 
 def recipe_rewrite(spark, sf):
-    return Archive(_short(spark, sf)).recipes.select(F.col("file_id").alias("doc_id"), _long("seq").alias("seq"), "packed_offset", _long("chunk_size").alias("n"))
+    return Archive(_files(spark, sf), "whole").recipes.select(F.col("file_id").alias("doc_id"), _long("seq").alias("seq"), "packed_offset", _long("chunk_size").alias("n"))
 
 
 def recipe_unresolved(spark, sf):
@@ -188,13 +199,12 @@ def restore_adjacent(spark, sf):
 
 
 def header_size(spark, sf):
-    files = _short(spark, sf)
-    return layout.header_bytes(files, chunking.chunk(files, "ae"))
+    return layout.header_bytes(_files(spark, sf), _whole(spark, sf))
 
 
 def container_roundtrip(spark, sf):
     path = fresh_path(spark, "container") + "/archive.bin"
-    Archive(_short(spark, sf), "ae", "arrival").write(path)
+    Archive(_files(spark, sf), "whole").write(path)
     return restore_container(spark, path).select("filename", "file_size", "chunk_count", F.sha1("data").alias("h"))
 
 
@@ -240,10 +250,6 @@ def compression_gain(spark, sf):
 # features and groups
 
 
-def _features(spark, sf, files=None):
-    return Archive(files if files is not None else _files(spark, sf), "ae")
-
-
 def super_features(spark, sf):
     """Every document's features as a whole: equal for equal payloads, and as many as asked for."""
     f = similar.with_super_features(chunking.chunk(_files(spark, sf), "whole", with_data=True))
@@ -256,13 +262,14 @@ def super_features_wide(spark, sf):
 
 
 def sf_short(spark, sf):
-    f = similar.with_super_features(chunking.chunk(_files(spark, sf).where(F.octet_length("data") < 48), "whole", with_data=True))
-    return f.agg(F.count("*").alias("files"), F.countDistinct("super_features").alias("signatures"))
+    """Payloads shorter than a window all have one signature."""
+    f = similar.with_super_features(chunking.chunk(_files(spark, sf), "whole", with_data=True))
+    short = F.col("chunk_size") < 48
+    return f.agg(F.count("*").alias("files"), F.count(F.when(short, 1)).alias("short_files"), F.countDistinct(F.when(short, F.col("super_features"))).alias("short_signatures"))
 
 
 def similar_groups(spark, sf):
-    a = _features(spark, sf, _short(spark, sf))
-    g = a.groups.groupBy("leader").agg(F.count("*").alias("n"))
+    g = Archive(_files(spark, sf), "whole").groups.groupBy("leader").agg(F.count("*").alias("n"))
     return g.agg(F.sum("n").alias("members"), (F.count("*") <= F.sum("n")).alias("led"))
 
 
@@ -274,7 +281,7 @@ def skip_groups(spark, sf):
 
 def dup_adjacency(spark, sf):
     """The order is a permutation of the unique chunks."""
-    o = similar.duplicate_adjacency(chunking.chunk(_short(spark, sf), "ae"))
+    o = similar.duplicate_adjacency(_whole(spark, sf))
     return o.agg(F.count("*").alias("rows"), F.countDistinct("chunk_hash").alias("uniques"))
 
 
@@ -294,8 +301,7 @@ def _hashed(df: DataFrame, many, name: str) -> DataFrame:
 
 
 def fnv1_64(spark, sf):
-    """FNV-1 64 of all ASCII documents."""
-    return _hashed(_docs(spark, sf).where(F.octet_length("text") == F.length("text")).select("doc_id", F.col("text").alias("t")), fnv1_64_many, "fnv")
+    return _hashed(_docs(spark, sf).select("doc_id", F.col("text").alias("t")), fnv1_64_many, "fnv")
 
 
 def spooky(spark, sf):
@@ -319,75 +325,77 @@ def changed_paths(spark, sf):
 
 
 def hex_dump(spark, sf):
-    c = chunking.chunk(_short(spark, sf), "ae")
+    c = _whole(spark, sf)
     return c.select(F.col("file_id").alias("doc_id"), F.upper(F.hex("chunk_hash")).alias("line"))
 
 
 def recipe_text(spark, sf):
-    r = Archive(_short(spark, sf)).recipes
+    r = Archive(_files(spark, sf), "whole").recipes
     return r.select(F.col("file_id").alias("doc_id"), F.format_string("Offset: %d Size: %d", F.col("packed_offset"), F.col("chunk_size")).alias("line"))
 
 
 QUERIES = {f.__name__: f for f in (
-    file_scan, job_totals, totals_rollup, job_stats, conversation_files, folder_scan, ae_whole, ae_roundtrip, rabin_roundtrip, pages_roundtrip, rabin_small, rabin_bounds,
+    file_scan, job_totals, totals_rollup, job_stats, conversation_files, folder_scan, whole_chunks, ae_bounds, ae_roundtrip, rabin_roundtrip, pages_roundtrip, rabin_bounds, rabin_source_bounds,
     dedup_first, dup_occurrences, dup_group_sizes, dedup_by_lang, index_lookup, last_position, new_vs_base, stream_ingest, layout_arrival, recipe_rewrite, recipe_unresolved,
     restore, restore_adjacent, header_size, container_roundtrip, read_units, codec_roundtrip, codec_sniff, compression_gain, super_features, super_features_wide, sf_short,
     similar_groups, skip_groups, dup_adjacency, fnv1_64, spooky, restore_paths, archive_names, changed_paths, hex_dump, recipe_text)}
 
 _N = "octet_length(encode(text))"
-_SHORT = f"d as (select doc_id, text, lang, cast({_N} as bigint) as n, sha1(text) as h from documents where {_N} between 1 and {AE_WHOLE})"
+_DOCS = f"d as (select doc_id, text, lang, cast({_N} as bigint) as n, sha1(text) as h from documents where text <> '')"
 _UNIQUE = "u as (select h, n, min(doc_id) as first_doc, count(*) as occurrences from d group by h, n)"
 _PLACED = "l as (select *, cast(coalesce(sum(n) over (order by first_doc rows between unbounded preceding and 1 preceding), 0) as bigint) as packed_offset, row_number() over (order by first_doc) - 1 as layout_ord from u)"
 _ALL = f"select doc_id, cast({_N} as bigint) as n, sha1(text) as h from documents where text is not null"
 _SOME = f"{_ALL} and text <> ''"
+_SOME_N = f"select doc_id, cast({_N} as bigint) as n from documents where text <> ''"
 
 ORACLE_SQL = {
     "file_scan": f"select doc_id, cast({_N} as bigint) as n, sha1(text) as h from documents",
     "job_totals": f"select count(*) as files, cast(sum({_N}) as bigint) as bytes, count(distinct sha1(text)) as unique_payloads from documents",
     "totals_rollup": f"select lang, source, count(*) as files, cast(sum({_N}) as bigint) as bytes from documents group by rollup (lang, source)",
-    "job_stats": f"""with {_SHORT}, {_UNIQUE}, f as (select count(*) as files, cast(sum(n) as bigint) as bytes, cast(16 + sum(18 + length('f/' || doc_id) + 12) as bigint) as header_bytes from d)
+    "job_stats": f"""with {_DOCS}, {_UNIQUE}, f as (select count(*) as files, cast(sum(n) as bigint) as bytes, cast(16 + sum(18 + length('f/' || doc_id) + 12) as bigint) as header_bytes from d)
         select files, bytes, files as chunks, (select count(*) from u) as unique_chunks, (select cast(sum(n) as bigint) from u) as unique_bytes, header_bytes,
                cast(header_bytes + (select sum(n) from u) as bigint) as container_bytes from f""",
     "conversation_files": "select conv_id, cast(octet_length(encode(t)) as bigint) as n, sha1(t) as h from (select conv_id, string_agg(text, '' order by turn) as t from conversations group by conv_id)",
     "folder_scan": "select * from (values ('nation.parquet', true), ('region.parquet', true)) as t(name, nonempty)",
-    "ae_whole": f"with {_SHORT} select doc_id, cast(0 as bigint) as seq, cast(0 as bigint) as src_offset, n as chunk_size, h from d",
+    "whole_chunks": f"with {_DOCS} select doc_id, cast(0 as bigint) as seq, cast(0 as bigint) as src_offset, n as chunk_size, h from d",
     "ae_roundtrip": _SOME,
     "rabin_roundtrip": _SOME,
     "pages_roundtrip": "select page_id, cast(octet_length(encode(html)) as bigint) as n, sha1(html) as h from pages where html <> ''",
-    "rabin_small": f"select doc_id, cast(1 as bigint) as chunks, cast({_N} as bigint) as n from documents where {_N} between 1 and 2048",
-    "rabin_bounds": f"select cast(substring(source, 4) as bigint) as source_no, cast(sum({_N}) as bigint) as n, true as within from documents group by source",
-    "dedup_first": f"with {_SHORT}, {_UNIQUE} select h, first_doc as doc_id, n, occurrences from u",
-    "dup_occurrences": f"with {_SHORT}, w as (select *, min(doc_id) over (partition by h) as first_doc from d) select doc_id, first_doc, h from w where doc_id <> first_doc",
-    "dup_group_sizes": f"with {_SHORT}, {_UNIQUE} select occurrences as size, count(*) as groups from u group by occurrences",
-    "dedup_by_lang": f"""with {_SHORT}, w as (select *, row_number() over (partition by h order by doc_id) as r from d)
+    "ae_bounds": f"select *, true as within from ({_SOME_N})",
+    "rabin_bounds": f"select *, true as within from ({_SOME_N})",
+    "rabin_source_bounds": f"select cast(substring(source, 4) as bigint) as source_no, cast(sum({_N}) as bigint) as n, true as within from documents group by source",
+    "dedup_first": f"with {_DOCS}, {_UNIQUE} select h, first_doc as doc_id, n, occurrences from u",
+    "dup_occurrences": f"with {_DOCS}, w as (select *, min(doc_id) over (partition by h) as first_doc from d) select doc_id, first_doc, h from w where doc_id <> first_doc",
+    "dup_group_sizes": f"with {_DOCS}, {_UNIQUE} select occurrences as size, count(*) as groups from u group by occurrences",
+    "dedup_by_lang": f"""with {_DOCS}, w as (select *, row_number() over (partition by h order by doc_id) as r from d)
         select lang, count(*) as occurrences, count(*) filter (where r = 1) as uniques, cast(sum(n) as bigint) as bytes, cast(coalesce(sum(n) filter (where r = 1), 0) as bigint) as unique_bytes from w group by lang""",
-    "index_lookup": f"with {_SHORT} select doc_id, min(doc_id) over (partition by h) as first_doc from d",
-    "last_position": f"with {_SHORT} select h, max(doc_id) as last_doc from d group by h",
-    "new_vs_base": f"with {_SHORT} select doc_id, h from d where doc_id % 2 = 1 and not exists (select 1 from d as b where b.doc_id % 2 = 0 and b.h = d.h)",
+    "index_lookup": f"with {_DOCS} select doc_id, min(doc_id) over (partition by h) as first_doc from d",
+    "last_position": f"with {_DOCS} select h, max(doc_id) as last_doc from d group by h",
+    "new_vs_base": f"with {_DOCS}, k as (select d.*, doc_id in (select doc_id from labels) as known from d) select doc_id, h from k where not known and not exists (select 1 from k as b where b.known and b.h = k.h)",
     "stream_ingest": f"select distinct sha1(text) as h, cast({_N} as bigint) as n from documents where text <> ''",
-    "layout_arrival": f"with {_SHORT}, {_UNIQUE}, {_PLACED} select h, layout_ord, packed_offset, n from l",
-    "recipe_rewrite": f"with {_SHORT}, {_UNIQUE}, {_PLACED} select d.doc_id, cast(0 as bigint) as seq, l.packed_offset, d.n from d join l using (h)",
+    "layout_arrival": f"with {_DOCS}, {_UNIQUE}, {_PLACED} select h, layout_ord, packed_offset, n from l",
+    "recipe_rewrite": f"with {_DOCS}, {_UNIQUE}, {_PLACED} select d.doc_id, cast(0 as bigint) as seq, l.packed_offset, d.n from d join l using (h)",
     "recipe_unresolved": "select cast(0 as bigint) as unresolved",
     "restore": _SOME,
     "restore_adjacent": _SOME,
-    "header_size": f"with {_SHORT} select cast(16 + sum(18 + length('f/' || doc_id) + 12) as bigint) as header_bytes from d",
-    "container_roundtrip": f"with {_SHORT} select 'f/' || doc_id as filename, n as file_size, cast(1 as bigint) as chunk_count, h from d",
+    "header_size": f"with {_DOCS} select cast(16 + sum(18 + length('f/' || doc_id) + 12) as bigint) as header_bytes from d",
+    "container_roundtrip": f"with {_DOCS} select 'f/' || doc_id as filename, n as file_size, cast(1 as bigint) as chunk_count, h from d",
     "read_units": "select true as all_chunks, true as within",
     "codec_roundtrip": f"select a.*, codec from ({_ALL}) as a, (values {', '.join(f"('{c}')" for c in codecs.CODECS)}) as c(codec)",
     "codec_sniff": "select form, count(*) as files from documents, (values ('.gz'), ('.bz2'), ('rejected')) as f(form) group by form",
     "super_features": "select sha1(text) as h, count(*) as files, cast(1 as bigint) as signatures, cast(2 as bigint) as width from documents where text <> '' group by 1",
     "super_features_wide": "select distinct sha1(text) as h, cast(1 as bigint) as signatures, cast(4 as bigint) as width from documents where text <> ''",
-    "sf_short": f"select count(*) as files, cast(1 as bigint) as signatures from documents where {_N} between 1 and 47",
-    "similar_groups": f"with {_SHORT} select count(distinct h) as members, true as led from d",
-    "dup_adjacency": f"with {_SHORT} select count(distinct h) as rows, count(distinct h) as uniques from d",
-    "fnv1_64": """select doc_id, cast(list_reduce([ascii(x)::UHUGEINT for x in string_split(text, '')], lambda h, b: xor((h * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, b), 14695981039346656037::UHUGEINT) as varchar) as fnv
-        from documents where octet_length(encode(text)) = length(text)""",
+    "sf_short": f"select count(*) as files, count(*) filter (where {_N} < 48) as short_files, cast(least(1, count(*) filter (where {_N} < 48)) as bigint) as short_signatures from documents where text <> ''",
+    "similar_groups": f"with {_DOCS} select count(distinct h) as members, true as led from d",
+    "dup_adjacency": f"with {_DOCS} select count(distinct h) as rows, count(distinct h) as uniques from d",
+    "fnv1_64": """select doc_id, cast(list_reduce([('0x' || x)::UHUGEINT for x in regexp_extract_all(hex(text), '..')], lambda h, b: xor((h * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, b), 14695981039346656037::UHUGEINT) as varchar) as fnv
+        from documents""",
     "restore_paths": """select page_id, case when not regexp_matches(bare, '(^|/)\\.\\.(/|$)') then bare end as path from (
         select page_id, regexp_replace(case page_id % 3 when 0 then '../x/./' when 1 then 'a/../../' else './' end || url, '^[./]+', '') as bare from pages)""",
     "archive_names": "select page_id, regexp_extract(rtrim(url, '/'), '[^/]+$', 0) as name from pages",
     "changed_paths": "select page_id, 'out/' || regexp_extract(url, '[^/]*$', 0) as path from pages",
-    "hex_dump": f"with {_SHORT} select doc_id, upper(h) as line from d",
-    "recipe_text": f"with {_SHORT}, {_UNIQUE}, {_PLACED} select d.doc_id, format('Offset: {{}} Size: {{}}', l.packed_offset, d.n) as line from d join l using (h)",
+    "hex_dump": f"with {_DOCS} select doc_id, upper(h) as line from d",
+    "recipe_text": f"with {_DOCS}, {_UNIQUE}, {_PLACED} select d.doc_id, format('Offset: {{}} Size: {{}}', l.packed_offset, d.n) as line from d join l using (h)",
 }
 
 
