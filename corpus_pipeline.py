@@ -14,16 +14,14 @@ from siltstone.llm import decontaminate, language, neardup, packing, repeats
 from siltstone.llm.common import fresh_path, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose best language has less probability than this has no clear language.
-LEAST_LANGUAGE = 0.4
 #: Bytes of a repeated passage: passages of over 50 words have more, in these languages and in most.
 PASSAGE = 240
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a clear language stay: `und` and those under LEAST_LANGUAGE go."""
+    """Documents in a language stay, however short or mixed; `und` (no text, no letter) go."""
     out = language.identify(docs, *language.learn(docs), carry=("text", "lang", "source", "n_chars"))
-    return out.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
+    return out.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
