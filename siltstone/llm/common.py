@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.storage import fresh_path, materialise, partitions, shared_dir
+from ..plans.storage import discard, fresh_path, materialise, partitions, shared_dir
 
-__all__ = ["fresh_path", "materialise", "partitions", "read_table", "shared_dir", "small_batches"]
+__all__ = ["discard", "fresh_path", "materialise", "partitions", "read_table", "shared_dir", "small_batches"]
 
 #: Rows and bytes in one Arrow batch handed to Python; whole texts are long, so the defaults are too many.
 ARROW_ROWS = 512

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, small_batches
+from .common import discard, materialise, read_table, small_batches
 
 #: Rows in a block, and the UTF-8 bytes at which it is closed earlier.
 BLOCK_ROWS = 4096
@@ -336,6 +336,7 @@ def score_texts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(machine.score(b.column("word").to_pylist()) / math.log(10))], ["word", "c", "log"])
 
     priced = materialise(counts.mapInArrow(price, "word string, c long, log double"), "prices")
+    discard(counts)
     hot = F.col("c") * HOT >= total if total else F.lit(False)
     pairs = words.select("block", "word", "rows")
     few = F.broadcast(priced.where(hot))  # at most HOT words

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, small_batches
+from .common import discard, materialise, read_table, small_batches
 from .components import components
 
 SHINGLE = 5
@@ -266,10 +266,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     by_next = apart.join(sig, "id").select(
         F.xxhash64("key", F.element_at("sig", (F.array_position("sig", F.col("key")) % SKETCHES + 1).cast("int"))).alias("key"), "id", "n")
     more = materialise(_stars(by_length.unionByName(by_next)).where(near_in_size).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-    links = links.unionByName(_verified(more, texts, least))
-    labels = components(materialise(links, "links"))
+    known = labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))  # as connected as the links so far
+    all_links = materialise(known.unionByName(_verified(more, texts, least)), "links")
+    labels = components(all_links)
+    discard(stars, wanted, texts, links, apart, more, all_links)
     classes = nodes.select("hash", "id", "rep").join(labels, "id", "left").select("hash", "rep", F.coalesce("label", "id").alias("label"))
-    ids = classes.groupBy("label").agg(F.min("rep").alias("class_id"))
+    ids = materialise(classes.groupBy("label").agg(F.min("rep").alias("class_id")), "classes")  # so that the join below can split a large class
     found = sigs.select("k", "hash").join(classes.join(ids, "label").select("hash", "class_id"), "hash").select(F.col("k").alias(key), "class_id")
     return found.unionByName(df.where(F.col(text).isNull()).select(F.col(key), F.col(key).alias("class_id")))
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, read_table, small_batches
+from .common import discard, materialise, partitions, read_table, small_batches
 
 LENGTH = 400
 GRAM = 24
@@ -373,11 +373,13 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
         F.sum("times").alias("all"), F.max("several").alias("any"), ((F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2"))).alias("differ")
     ).where("all > 1 or any").select("kind", (F.col("any") | F.col("differ")).alias("mixed"))
     found = listed.select("kind", "t1", "t2", "first", "n").join(kinds, "kind").groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "n", "mixed")).alias("cells"))
+    found = materialise(found, "found")  # so that the join below can split the rows of a text with many copies
     texts = _hash_texts(df, key, text, list(carry)).join(found, ["t1", "t2"], "left")
     some = lambda yes: F.transform(F.filter("cells", lambda c: c["mixed"] if yes else ~c["mixed"]), lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n")))
     empty = F.array().cast("array<struct<first:bigint,n:bigint>>")
     table = materialise(
         texts.select("k", "t", "rest", F.coalesce(some(False), empty).alias("whole"), F.coalesce(some(True), empty).alias("mixed")).withColumn("id", F.monotonically_increasing_id()), "repeats")
+    discard(listed, found)
     pending = table.where(F.size("mixed") > 0).select("id", "t", "mixed")
     classes = materialise(_list_sub_cells(pending, length, True).groupBy("g1", "g2", "c1", "c2", "left", "right").agg(F.count("*").alias("times")), "classes")
     large = classes.groupBy("g1", "g2").agg(F.count("*").alias("size")).where(F.col("size") > group).select("g1", "g2")
