@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
         if before is not None:
             discard(before)
         before = edges
-        centres = edges.select(F.col("v").alias("u")).distinct()
-        if edges.join(centres, "u", "left_semi").isEmpty():  # all are stars
+        # all are stars, each apart from the others: a node has one centre, and a centre only itself
+        labels = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), "v"))
+        if labels.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").isEmpty():
             break
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label"))).distinct()

@@ -214,6 +214,25 @@ def test_sketches_dont_depend_on_the_batch():
     assert all((neardup.sketches([t])[0][0] == whole[i]).all() for i, t in enumerate(texts))
 
 
+def test_components_of_leaves_with_two_centres(spark):
+    """Links that one round turns into two stars which share a leaf: at once, and split over two calls."""
+    first, second, schema = [(4, 0), (7, 3)], [(7, 2), (4, 3)], "a long, b long"
+    labels = lambda links: {x["id"]: x["label"] for x in components.components(links).collect()}
+    assert labels(spark.createDataFrame(first + second, schema)) == dict.fromkeys((0, 2, 3, 4, 7), 0)
+    known = components.components(spark.createDataFrame(first, schema)).where("id <> label").selectExpr("id a", "label b")
+    assert labels(known.unionByName(spark.createDataFrame(second, schema))) == dict.fromkeys((0, 2, 3, 4, 7), 0)
+
+
+def test_components_of_chains_over_two_calls(spark):
+    schema, first, second = "a long, b long", [], []
+    for i, ids in enumerate((list(range(40)), random.Random(5).sample(range(40), 40))):
+        chain = [(a + 100 * i, b + 100 * i) for a, b in zip(ids, ids[1:], strict=False)]
+        first, second = first + chain[::2], second + chain[1::2]
+    known = components.components(spark.createDataFrame(first, schema)).where("id <> label").selectExpr("id a", "label b")
+    got = {x["id"]: x["label"] for x in components.components(known.unionByName(spark.createDataFrame(second, schema))).collect()}
+    assert got == {x: x // 100 * 100 for x in (*range(40), *range(100, 140))}
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1060)]
