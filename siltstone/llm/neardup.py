@@ -8,11 +8,11 @@ they sampled the same shingles in the same order, which depends on order as edit
 Equal texts are one node.  In each bucket (texts that agree in a sketch) every node is paired with the
 least one.  Pairs are verified by the edit distance of their words, computed in a band that is as wide
 as a similarity of `SIMILARITY` (1 - distance / words of the longer one) allows; a pair is a link if
-the distance is within it.  Nodes that aren't linked, even by others, to their bucket's least node are
-paired again within finer buckets (the sketch with a class of lengths, two overlapping classes each,
-and with the next sketch), so that an unrelated text that shares a passage doesn't hide a link.
-Classes are the connected components of links.  No bucket is cut or capped, and each adds at most one
-pair a node.
+the distance is within it.  Then every two nodes of a bucket that these links leave in different
+components are paired too, so that a third text never hides a link: those outside the bucket's most
+frequent component with all others.  Of these pairs only those go on to be verified whose lengths and
+counts of words allow a link.  Classes are the connected components of links.  No bucket is cut or
+capped: one of texts that are all alike adds a pair a node, one of unlinked texts every pair.
 
 Defined cases: rows with equal texts, the empty one too, are one class; a null text is a class of its
 own with its own key as id; texts under five words have one shingle of all their words; texts of white
@@ -36,6 +36,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SAMPLED = 2
 SKETCHES = 32
+#: Classes of words that are counted to rule out links.
+COUNTED = 64
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -184,7 +186,7 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 
 def _signatures(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, hash, n, sig): 128-bit hash of the text, its words, its sketches (null without words); rows with a text."""
+    """(k, hash, n, sig, counts): 128-bit hash of the text, its words, its sketches (none without words), its counts of words; rows with a text."""
     frame = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +200,32 @@ def _signatures(df: DataFrame, key: str, text: str) -> DataFrame:
             own = np.array(which, np.int64)
             ok = has[own]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ok * sig.shape[1])]), pa.int32()), pa.array(sig[own[ok]].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(n[own], pa.int64()), lists], ["k", "hash", "n", "sig"])
+            counts = [c.tobytes() for c in word_counts(list(numbers))]
+            columns = [b.column("k"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(n[own], pa.int64()), lists, pa.array([counts[i] for i in which], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "hash", "n", "sig", "counts"])
 
-    return frame.mapInArrow(run, f"k {frame.schema['k'].dataType.simpleString()}, hash binary, n long, sig array<long>")
+    return frame.mapInArrow(run, f"k {frame.schema['k'].dataType.simpleString()}, hash binary, n long, sig array<long>, counts binary")
+
+
+def word_counts(texts: list[bytes]) -> np.ndarray:
+    """Texts x `COUNTED`: how many words of each text fall in each class of hashes, up to 255."""
+    words, n = word_hashes(texts)
+    at = np.repeat(np.arange(len(texts)), n) * COUNTED + (words % _U(COUNTED)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=len(texts) * COUNTED), 255).astype(np.uint8).reshape(-1, COUNTED)
+
+
+def _counts_allow(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b) of those pairs (a, b, na, nb, ca, cb) whose counts of words allow a link: words that only one of two texts has cost an edit each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COUNTED).astype(np.int16) for c in ("ca", "cb"))
+            more = x - y
+            apart = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+            longer = np.maximum(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= ((1 - least) * longer + 1e-9).astype(np.int64)))
+
+    return pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
 
 
 def _text_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -235,13 +260,36 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return buckets.join(least, "key").select(F.col("m.id").alias("a"), F.col("id").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"), "key").where("a <> b")
 
 
+def _apart(stars: DataFrame, labels: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of nodes that share a bucket but no label, but for the least node of each bucket, if their lengths and counts of words allow a link."""
+    members = stars.select("key", F.col("b").alias("id"), F.col("nb").alias("n")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = (
+        members.groupBy("key", "label").agg(F.count("*").alias("of")).groupBy("key")
+        .agg(F.max(F.struct("of", "label")).alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.col("most.label").alias("main"))
+    )
+    width = float(-np.log(least)) + 1e-6 if least > 0 else float("inf")  # lengths of a link are in the same class or in neighbours
+    rows = materialise(members.join(mixed, "key").join(nodes.select("id", "counts"), "id").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / width)), "mixed")
+    x = rows.where("label <> main").select("key", "id", "n", "label", "counts", F.explode(F.array(*[F.col("size") + i for i in (-1, 0, 1)])).alias("size")).alias("x")
+    y = rows.alias("y")
+    meets = (
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.label") != F.col("y.label"))
+        & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
+        & (F.abs(F.col("x.n") - F.col("y.n")) <= F.greatest("x.n", "y.n") * (1 - least) + 1e-9)
+    )
+    pairs = x.join(y, meets).select(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.counts").alias("ca"), F.col("y.counts").alias("cb"))
+    out = materialise(_counts_allow(pairs, least).distinct(), "apart")
+    discard(rows)
+    return out
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(key, class_id) of every row."""
     spark = df.sparkSession
     small_batches(spark)
     sigs = materialise(_signatures(df, key, text), "sketches")
     nodes = materialise(
-        sigs.groupBy("hash").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()), "nodes")
+        sigs.groupBy("hash").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("counts").alias("counts")).withColumn("id", F.monotonically_increasing_id()), "nodes")
     buckets = nodes.where(F.size("sig") > 0).select("id", "n", F.explode("sig").alias("key"))
     near_in_size = (F.abs(F.col("na") - F.col("nb")) <= F.greatest("na", "nb") * (1 - least) + 1e-9)
     stars = materialise(_stars(buckets), "stars")
@@ -253,23 +301,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     texts = materialise(_text_of(df, key, text).alias("d").join(own.alias("o"), same).select("o.id", "d.t").dropDuplicates(["id"]), "texts")
     links = materialise(_verified(pairs, texts, least), "links")
     labels = components(links)
-    # nodes that are apart from their bucket's least node meet again in finer buckets
-    label = lambda c: F.coalesce(F.col(c), F.col(c[1:]))
-    apart = (
-        stars.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
-        .where(label("la") != label("lb")).select("key", F.col("b").alias("id"), F.col("nb").alias("n"))
-    )
-    apart = materialise(apart, "apart")
-    size = F.log(F.col("n").cast("double")) / float(-2 * np.log(least))  # lengths of a link differ by half of this at most
-    by_length = apart.select(F.explode(F.array(*[F.xxhash64("key", F.floor(size + shift / 2), F.lit(shift)) for shift in (0, 1)])).alias("key"), "id", "n")
-    sig = nodes.select("id", "sig")
-    by_next = apart.join(sig, "id").select(
-        F.xxhash64("key", F.element_at("sig", (F.array_position("sig", F.col("key")) % SKETCHES + 1).cast("int"))).alias("key"), "id", "n")
-    more = materialise(_stars(by_length.unionByName(by_next)).where(near_in_size).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    more = materialise(_apart(stars, labels, nodes, least).join(pairs, ["a", "b"], "left_anti"), "more")
     known = labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))  # as connected as the links so far
     all_links = materialise(known.unionByName(_verified(more, texts, least)), "links")
     labels = components(all_links)
-    discard(stars, wanted, texts, links, apart, more, all_links)
+    discard(stars, wanted, texts, links, more, all_links)
     classes = nodes.select("hash", "id", "rep").join(labels, "id", "left").select("hash", "rep", F.coalesce("label", "id").alias("label"))
     ids = materialise(classes.groupBy("label").agg(F.min("rep").alias("class_id")), "classes")  # so that the join below can split a large class
     found = sigs.select("k", "hash").join(classes.join(ids, "label").select("hash", "class_id"), "hash").select(F.col("k").alias(key), "class_id")

@@ -214,6 +214,25 @@ def test_sketches_dont_depend_on_the_batch():
     assert all((neardup.sketches([t])[0][0] == whole[i]).all() for i, t in enumerate(texts))
 
 
+def test_no_third_text_hides_a_link(spark):
+    """Texts that share a passage, and pairs among them that are links but share no shingle outside it."""
+    passage, texts = " ".join(f"w{i}" for i in range(50)), []
+    for i in range(150):
+        w = [f"x{i}y{j}" for j in range(50)]
+        texts.append(f"{passage} {' '.join(w)}")
+        if i % 3 == 0:
+            texts.append(f"{passage} {' '.join(f'z{i}y{j}' if j % 5 in (0, 2) else x for j, x in enumerate(w))}")
+    found = neardup.sketches([t.encode() for t in texts])[0]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and (found[i] == found[j]).any() and neardup.similar(texts[i], texts[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert len(set(label)) < 170
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == dict(enumerate(label))
+
+
 def test_components_of_leaves_with_two_centres(spark):
     """Links that one round turns into two stars which share a leaf: at once, and split over two calls."""
     first, second, schema = [(4, 0), (7, 3)], [(7, 2), (4, 3)], "a long, b long"
