@@ -1,9 +1,12 @@
 """Operator 8, near duplicates: order MinHash, then banded alignment.
 
-Texts are ASCII-lower-cased words between ASCII white space.  Their five-word shingles get the number of
-their occurrence in the text, so that repeats differ.  Each of `SKETCHES` hash functions takes the
-`SAMPLED` shingles with the least hashes and keeps them in text order; two texts agree in a sketch if
-they sampled the same shingles in the same order, which depends on order as edit distance does.
+Texts are ASCII-lower-cased words between ASCII white space.  Their shingles of `SHINGLE` words get the
+number of their occurrence in the text, so that repeats differ.  Each of `SKETCHES` hash functions takes
+the `SAMPLED` shingles with the least hashes and keeps them in text order; two texts agree in a sketch if
+they sampled the same shingles in the same order, which depends on order as edit distance does.  Texts
+of up to `SHORT` words have as many sketches of two-word shingles besides.  Those of up to `TINY` words,
+where a link is an edit of one word at most, also agree if they are equal after one word or none is
+left out of each: all links among these meet.
 
 Equal texts are one node.  In each bucket (texts that agree in a sketch) every node is paired with the
 least one.  Pairs are verified by the edit distance of their words, computed in a band that is as wide
@@ -15,7 +18,7 @@ counts of words allow a link.  Classes are the connected components of links.  N
 capped: one of texts that are all alike adds a pair a node, one of unlinked texts every pair.
 
 Defined cases: rows with equal texts, the empty one too, are one class; a null text is a class of its
-own with its own key as id; texts under five words have one shingle of all their words; texts of white
+own with its own key as id; texts under three words have one shingle of all their words; texts of white
 space alone are linked to nothing but equal texts; class ids are the least key of the class (null keys
 only if it has no other); repeated rows each get a row; only the named columns are read.
 """
@@ -32,10 +35,12 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, read_table, small_batches
 from .components import components
 
-SHINGLE = 5
+SHINGLE = 3
 SIMILARITY = 0.8
 SAMPLED = 2
-SKETCHES = 32
+SKETCHES = 48
+SHORT = 30
+TINY = 9
 #: Classes of words that are counted to rule out links.
 COUNTED = 64
 
@@ -127,6 +132,37 @@ def sketches(texts: list[bytes], count: int = SKETCHES, sampled: int = SAMPLED,
     return out, has, n
 
 
+def left_out(texts: list[bytes]) -> list[list[int]]:
+    """For texts of 1 to `TINY` words: a 64-bit hash of their words, and where a word is an edit within a link those of all words but one."""
+    words, n = word_hashes(texts)
+    first, out = np.cumsum(n) - n, []
+    for i, k in enumerate(n.tolist()):
+        if not 0 < k <= TINY:
+            out.append([])
+            continue
+        w = words[first[i] : first[i] + k]
+        forms = np.stack([np.concatenate([w, [_U(0)]]), *(np.concatenate([np.delete(w, j), [_U(0)] * 2]) for j in range(k if k > 4 else 0))])
+        h = np.full(len(forms), 0, np.uint64)
+        with np.errstate(over="ignore"):
+            for c in range(forms.shape[1]):
+                h = np.where(forms[:, c] != 0, _mixed(h * _U(_BASE) + forms[:, c] + _U(1)), h)
+        out.append(np.unique(h.view(np.int64)).tolist())
+    return out
+
+
+def all_keys(texts: list[bytes]) -> tuple[list[list[int]], np.ndarray]:
+    """The keys of the buckets that each text is in, and its words."""
+    sig, has, n = sketches(texts)
+    keys = [x.tolist() if ok else [] for x, ok in zip(sig.view(np.int64), has, strict=True)]
+    short = np.flatnonzero(has & (n <= SHORT)).tolist()
+    if short:
+        some = [texts[i] for i in short]
+        more = sketches(some, width=2)[0].view(np.int64)
+        for i, x, y in zip(short, more.tolist(), left_out(some), strict=True):
+            keys[i] = list(dict.fromkeys(keys[i] + x + y))
+    return keys, n
+
+
 def banded_distance(a: list, b: list, band: int) -> int | None:
     """Edit distance of two sequences if at most `band`, else None.
 
@@ -196,10 +232,9 @@ def _signatures(df: DataFrame, key: str, text: str) -> DataFrame:
             texts = [t.encode("utf-8", "surrogatepass") for t in b.column("t").to_pylist()]
             numbers: dict[bytes, int] = {}
             which = [numbers.setdefault(t, len(numbers)) for t in texts]  # equal texts of a batch are sketched once
-            sig, has, n = sketches(list(numbers))
+            keys, n = all_keys(list(numbers))
             own = np.array(which, np.int64)
-            ok = has[own]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ok * sig.shape[1])]), pa.int32()), pa.array(sig[own[ok]].reshape(-1).view(np.int64)))
+            lists = pa.array([keys[i] for i in which], pa.list_(pa.int64()))
             counts = [c.tobytes() for c in word_counts(list(numbers))]
             columns = [b.column("k"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(n[own], pa.int64()), lists, pa.array([counts[i] for i in which], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["k", "hash", "n", "sig", "counts"])

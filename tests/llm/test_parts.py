@@ -214,6 +214,24 @@ def test_sketches_dont_depend_on_the_batch():
     assert all((neardup.sketches([t])[0][0] == whole[i]).all() for i, t in enumerate(texts))
 
 
+def test_links_meet():
+    """Nearly all pairs at the least similarity of a link agree in a key, short ones of up to nine words always."""
+    r, share = random.Random(2), {}
+    for n in (5, 9, 10, 12, 20, 100):
+        texts = []
+        for _ in range(300):
+            w = [f"w{r.randrange(3000)}" for _ in range(n)]
+            v = list(w)
+            for j in r.sample(range(n), n // 5):
+                v[j] = f"x{r.randrange(10**6)}"
+            texts += [" ".join(w).encode(), " ".join(v).encode()]
+        keys, _ = neardup.all_keys(texts)
+        share[n] = sum(bool(set(a) & set(b)) for a, b in zip(keys[::2], keys[1::2], strict=True)) / 300
+    assert share[5] == share[9] == 1 and min(share.values()) > 0.97, share
+    keys, _ = neardup.all_keys([b"a b c d", b"a b X c d", b"a b c d e f g h", b"b c d e f g h"])
+    assert set(keys[0]) & set(keys[1]) and set(keys[2]) & set(keys[3])
+
+
 def test_no_third_text_hides_a_link(spark):
     """Texts that share a passage, and pairs among them that are links but share no shingle outside it."""
     passage, texts = " ".join(f"w{i}" for i in range(50)), []
