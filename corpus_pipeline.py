@@ -14,8 +14,9 @@ from siltstone.llm import decontaminate, language, neardup, packing, repeats
 from siltstone.llm.common import fresh_path, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bytes of a repeated passage: passages of over 50 words have more, in these languages and in most.
+#: Bytes of a repeated passage, and its words where these have fewer bytes.
 PASSAGE = 240
+WORDS = 51
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose every byte of a repeated string of PASSAGE bytes; of a character that a cut divides nothing stays.  No document goes."""
-    out = repeats.kept_bytes(docs, length=PASSAGE, carry=("text", "lang", "source", "n_chars"), form="text")
+    """Texts lose every byte of a repeated string of PASSAGE bytes or WORDS words; of a character that a cut divides nothing stays.  No document goes."""
+    out = repeats.kept_bytes(docs, length=PASSAGE, words=WORDS, carry=("text", "lang", "source", "n_chars"), form="text")
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
     return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long")).alias("n_chars"))
 

@@ -18,6 +18,9 @@ it covers is removed.  Matches never cross texts.
    A statistic of WIDE or more marks a window that occurs elsewhere.
 4. Marks go back to the texts, whose covered bytes are removed.
 
+A number of words may be given besides: then repeated strings of so many words (between ASCII white space)
+go too where they are shorter than LENGTH.  These are counted one by one by 128-bit hash; longer ones hold a window.
+
 `LENGTH` may be any from 128 bytes on.  Groups of more than `GROUP` different compressed texts are not gathered in one task: there the windows
 themselves are counted by 128-bit hash.  Hashes stand for equality only at 128 bits.
 
@@ -48,6 +51,8 @@ STRETCH = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _FAR = _U(0xFFFFFFFFFFFFFFFF)
+_SPACES = np.zeros(256, bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _POS = 20  # bits of a position in a stretch
 
 
@@ -212,6 +217,17 @@ def covered(windows: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[
     return [(s, e) for s, e in out]
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that touch as one."""
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [(s, e) for s, e in out]
+
+
 def _mask_runs(p: int, g: int, mask: int) -> list[tuple[int, int]]:
     """Windows of a sub-cell's mask, as runs."""
     out = []
@@ -277,6 +293,43 @@ def _hash_texts(df: DataFrame, key: str, text: str, carry: list[str]) -> DataFra
     return frame.mapInArrow(run, ", ".join(f"{n} {frame.schema[n].dataType.simpleString()}" for n in ("k", "t", "rest")) + ", t1 long, t2 long")
 
 
+def short_passages(raw: bytes, words: int, length: int) -> list[tuple[int, int]]:
+    """(first byte, bytes) of all strings of so many words that are shorter than `length`."""
+    space = _SPACES[np.frombuffer(raw, np.uint8)]
+    edge = np.diff(np.concatenate([[1], space.astype(np.int8), [1]]))
+    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    size = stop[words - 1 :] - start[: max(0, len(start) - words + 1)]
+    own = np.flatnonzero(size < length)
+    return list(zip(start[own].tolist(), size[own].tolist(), strict=True))
+
+
+def _list_short(df: DataFrame, text: str, words: int, length: int) -> DataFrame:
+    """(t1, t2, spans): the strings of so many words, shorter than `length`, that several places hold, by the text's hash."""
+    frame = df.where(F.octet_length(text) >= 2 * words - 1).select(F.col(text).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
+        for b in batches:
+            own, name, first, n = [], [], [], []
+            for t in b.column("t").to_pylist():
+                raw = t.encode("utf-8", "surrogatepass")
+                found = short_passages(raw, words, length)
+                if found:
+                    own += [digest(raw[s : s + z]) for s, z in found]
+                    name += [digest(raw)] * len(found)
+                    first += [s for s, _ in found]
+                    n += [z for _, z in found]
+            yield pa.RecordBatch.from_arrays([*_halves(own), *_halves(name), pa.array(first, pa.int64()), pa.array(n, pa.int64())], ["h1", "h2", "t1", "t2", "first", "n"])
+
+    listed = materialise(frame.mapInArrow(run, "h1 long, h2 long, t1 long, t2 long, first long, n long"), "short")
+    twice = listed.groupBy("h1", "h2").agg(F.count("*").alias("all")).where("all > 1").select("h1", "h2")
+    out = materialise(listed.join(twice, ["h1", "h2"]).groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "n")).alias("spans")), "spans")
+    discard(listed)
+    return out
+
+
 def _list_sub_cells(pending: DataFrame, length: int, with_bytes: bool) -> DataFrame:
     """Sub-cells of the mixed cells of pending texts: core hash, hash of the compressed text, and either that text or its place."""
     more = "left binary, right binary" if with_bytes else "id long, p long, g int"
@@ -364,7 +417,7 @@ def _count_windows(classes: DataFrame) -> DataFrame:
     return windows.join(twice, ["w1", "w2"]).groupBy("c1", "c2").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), group: int = GROUP) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), group: int = GROUP, words: int = 0) -> DataFrame:
     """(key, carried columns, n_bytes, spans, kept) of every row: the removed byte spans and the bytes that stay."""
     spark = df.sparkSession
     small_batches(spark)
@@ -375,11 +428,13 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     found = listed.select("kind", "t1", "t2", "first", "n").join(kinds, "kind").groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "n", "mixed")).alias("cells"))
     found = materialise(found, "found")  # so that the join below can split the rows of a text with many copies
     texts = _hash_texts(df, key, text, list(carry)).join(found, ["t1", "t2"], "left")
+    short = _list_short(df, text, words, length) if words else None
+    texts = texts.join(short, ["t1", "t2"], "left") if words else texts.withColumn("spans", F.lit(None).cast("array<struct<first:bigint,n:bigint>>"))
     some = lambda yes: F.transform(F.filter("cells", lambda c: c["mixed"] if yes else ~c["mixed"]), lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n")))
     empty = F.array().cast("array<struct<first:bigint,n:bigint>>")
     table = materialise(
-        texts.select("k", "t", "rest", F.coalesce(some(False), empty).alias("whole"), F.coalesce(some(True), empty).alias("mixed")).withColumn("id", F.monotonically_increasing_id()), "repeats")
-    discard(listed, found)
+        texts.select("k", "t", "rest", "spans", F.coalesce(some(False), empty).alias("whole"), F.coalesce(some(True), empty).alias("mixed")).withColumn("id", F.monotonically_increasing_id()), "repeats")
+    discard(listed, found, *([short] if words else []))
     pending = table.where(F.size("mixed") > 0).select("id", "t", "mixed")
     classes = materialise(_list_sub_cells(pending, length, True).groupBy("g1", "g2", "c1", "c2", "left", "right").agg(F.count("*").alias("times")), "classes")
     large = classes.groupBy("g1", "g2").agg(F.count("*").alias("size")).where(F.col("size") > group).select("g1", "g2")
@@ -390,7 +445,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     places = _list_sub_cells(pending, length, False).join(masks, ["c1", "c2"]).groupBy("id").agg(F.collect_list(F.struct("p", "g", "mask")).alias("masks"))
     whole = table.where(F.size("mixed") == 0).withColumn("masks", F.array().cast("array<struct<p:bigint,g:int,mask:bigint>>"))
     mixed = table.where(F.size("mixed") > 0).join(places, "id", "left")
-    return mixed.select("k", "t", "rest", "whole", "masks").unionByName(whole.select("k", "t", "rest", "whole", "masks"))
+    return mixed.select("k", "t", "rest", "whole", "masks", "spans").unionByName(whole.select("k", "t", "rest", "whole", "masks", "spans"))
 
 
 def _finish(rows: DataFrame, key: str, carry: tuple[str, ...], length: int, form: str) -> DataFrame:
@@ -402,12 +457,14 @@ def _finish(rows: DataFrame, key: str, carry: tuple[str, ...], length: int, form
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, spans, kept = [], [], [], []
-            for t, whole, masks in zip(b.column("t").to_pylist(), b.column("whole").to_pylist(), b.column("masks").to_pylist(), strict=True):
+            for t, whole, masks, short in zip(*[b.column(c).to_pylist() for c in ("t", "whole", "masks", "spans")], strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
                 windows = [(c["first"], c["first"] + c["n"]) for c in whole]
                 for m in masks or ():
                     windows += _mask_runs(m["p"], m["g"], m["mask"])
                 cut, at, parts = covered(windows, length), 0, []
+                if short:
+                    cut = merged([*cut, *((c["first"], c["first"] + c["n"]) for c in short)])
                 for s, e in cut:
                     parts.append(raw[at:s])
                     at = e
@@ -420,14 +477,14 @@ def _finish(rows: DataFrame, key: str, carry: tuple[str, ...], length: int, form
                 [b.column("k"), b.column("rest"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, kind)],
                 ["k", "rest", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = rows.select("k", "t", "rest", "whole", "masks").mapInArrow(run, schema)
+    out = rows.select("k", "t", "rest", "whole", "masks", "spans").mapInArrow(run, schema)
     return out.select(F.col("k").alias(key), *[F.col(f"rest.c{j}").alias(c) for j, c in enumerate(carry)], "n_bytes", "n_removed", "n_spans", "kept")
 
 
-def kept_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), form: str = "bytes", group: int = GROUP) -> DataFrame:
+def kept_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), form: str = "bytes", group: int = GROUP, words: int = 0) -> DataFrame:
     """(key, carried columns, n_bytes, n_removed, n_spans, kept) of every row; kept is the remaining bytes, as form says:
     `bytes`, `text` (of a character that a cut divides nothing stays) or their `sha256`."""
-    return _finish(remove_repeats(df, key, text, length, carry, group), key, carry, length, form)
+    return _finish(remove_repeats(df, key, text, length, carry, group, words), key, carry, length, form)
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,15 @@ def test_benchmark(stages):
 
 def test_packing(stages):
     assert {r.doc_id for r in stages["best_fit_packing"]} == {r.doc_id for r in stages["benchmark_passages"]}
+
+
+def test_repeats_of_short_words(spark):
+    """A passage of 51 words goes at whatever length in bytes, one of 50 short words stays."""
+    one, two = " ".join("abcdefghij"[i % 7 + i % 4] for i in range(51)), " ".join("klmnopqrst"[i % 7 + i % 4] + "u" for i in range(50))
+    rows = [(1, f"first {one} end of it {two} here"), (2, f"second {one}\nother words {two}"), (3, "Nothing repeats here. " + " ".join(map(str, range(70))))]
+    docs = spark.createDataFrame([(k, t, "en", "src", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in p.repeated_passages(spark, docs, "").collect()}
+    assert len(one.encode()) == 101
+    want = {1: f"first  end of it {two} here", 2: f"second \nother words {two}", 3: rows[2][1]}
+    assert {k: r.text for k, r in got.items()} == want
+    assert all(r.n_chars == len(want[k]) for k, r in got.items())
