@@ -320,6 +320,37 @@ def _apart(stars: DataFrame, labels: DataFrame, nodes: DataFrame, least: float)
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(key, class_id) of every row."""
+    sigs, classes = _classes(df, key, text, least)
+    ids = materialise(classes.groupBy("label").agg(F.min("rep").alias("class_id")), "classes")  # so that the join below can split a large class
+    found = sigs.select("k", "hash").join(classes.join(ids, "label").select("hash", "class_id"), "hash").select(F.col("k").alias(key), "class_id")
+    return found.unionByName(df.where(F.col(text).isNull()).select(F.col(key), F.col(key).alias("class_id")))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One row of each class, whole: of its rows with the least key (a null key only if it has no other) one.  Every row with a null text stays."""
+    _, classes = _classes(df, key, text, least)
+    kept = classes.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep"), F.col("hash"))).alias("m"))
+    kept = materialise(kept.select("m.hash", F.xxhash64("m.rep").alias("h"), F.col("m.rep").alias("rep")), "kept")
+    rows = with_hash(df.where(F.col(text).isNotNull()).select(F.struct(*df.columns).alias("row"), F.col(text).alias("t"), F.col(key).alias("k"))).withColumn("h", F.xxhash64("k"))
+    rows = rows.join(kept, ["hash", "h"]).where(F.col("k").eqNullSafe(F.col("rep"))).dropDuplicates(["hash", "h"]).select("row.*")  # one shuffle of texts
+    return rows.unionByName(df.where(F.col(text).isNull()))
+
+
+def with_hash(rows: DataFrame) -> DataFrame:
+    """(row, k, hash) of rows (row, t, k): with the 128-bit hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            hashes = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), pa.array(hashes, pa.binary())], ["row", "k", "hash"])
+
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, k {rows.schema['k'].dataType.simpleString()}, hash binary")
+
+
+def _classes(df: DataFrame, key: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """The sketches of rows, and (hash, rep, label) of every text: its least key and its class."""
     spark = df.sparkSession
     small_batches(spark)
     sigs = materialise(_signatures(df, key, text), "sketches")
@@ -341,10 +372,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     all_links = materialise(known.unionByName(_verified(more, texts, least)), "links")
     labels = components(all_links)
     discard(stars, wanted, texts, links, more, all_links)
-    classes = nodes.select("hash", "id", "rep").join(labels, "id", "left").select("hash", "rep", F.coalesce("label", "id").alias("label"))
-    ids = materialise(classes.groupBy("label").agg(F.min("rep").alias("class_id")), "classes")  # so that the join below can split a large class
-    found = sigs.select("k", "hash").join(classes.join(ids, "label").select("hash", "class_id"), "hash").select(F.col("k").alias(key), "class_id")
-    return found.unionByName(df.where(F.col(text).isNull()).select(F.col(key), F.col(key).alias("class_id")))
+    return sigs, nodes.select("hash", "id", "rep").join(labels, "id", "left").select("hash", "rep", F.coalesce("label", "id").alias("label"))
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,12 @@ def test_repeats_of_short_words(spark):
     want = {1: f"first  end of it {two} here", 2: f"second \nother words {two}", 3: rows[2][1]}
     assert {k: r.text for k, r in got.items()} == want
     assert all(r.n_chars == len(want[k]) for k, r in got.items())
+
+
+def test_near_duplicates_with_one_id(spark):
+    """Different texts under one id each stay, also beside classes; copies without an id go."""
+    text = lambda a, n=40: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b")), (2, text("c")), (0, text("c") + " more"), (None, text("a")), (None, text("d")), (None, text("d")), (3, text("e")), (3, text("e"))]
+    docs = spark.createDataFrame([(k, t, "en", "src", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in p.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, text("a")), (1, text("b")), (0, text("c") + " more"), (None, text("d")), (3, text("e"))], key=str)
