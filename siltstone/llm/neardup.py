@@ -331,19 +331,19 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", least: f
     _, classes = _classes(df, key, text, least)
     kept = classes.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep"), F.col("hash"))).alias("m"))
     kept = materialise(kept.select("m.hash", F.xxhash64("m.rep").alias("h"), F.col("m.rep").alias("rep")), "kept")
-    rows = with_hash(df.where(F.col(text).isNotNull()).select(F.struct(*df.columns).alias("row"), F.col(text).alias("t"), F.col(key).alias("k"))).withColumn("h", F.xxhash64("k"))
+    rows = with_hash(df.where(F.col(text).isNotNull()).select(F.struct(*df.columns).alias("row"), F.col(key).alias("k")), text).withColumn("h", F.xxhash64("k"))
     rows = rows.join(kept, ["hash", "h"]).where(F.col("k").eqNullSafe(F.col("rep"))).dropDuplicates(["hash", "h"]).select("row.*")  # one shuffle of texts
     return rows.unionByName(df.where(F.col(text).isNull()))
 
 
-def with_hash(rows: DataFrame) -> DataFrame:
-    """(row, k, hash) of rows (row, t, k): with the 128-bit hash of the text."""
+def with_hash(rows: DataFrame, text: str) -> DataFrame:
+    """(row, k, hash) of (row, k): with the 128-bit hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            hashes = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in b.column("t").to_pylist()]
+            hashes = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in b.column("row").field(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), pa.array(hashes, pa.binary())], ["row", "k", "hash"])
 
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, k {rows.schema['k'].dataType.simpleString()}, hash binary")

@@ -426,10 +426,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
         F.sum("times").alias("all"), F.max("several").alias("any"), ((F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2"))).alias("differ")
     ).where("all > 1 or any").select("kind", (F.col("any") | F.col("differ")).alias("mixed"))
     found = listed.select("kind", "t1", "t2", "first", "n").join(kinds, "kind").groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "n", "mixed")).alias("cells"))
+    short = _list_short(df, text, words, length) if words else None
+    found = found.join(short, ["t1", "t2"], "full") if words else found.withColumn("spans", F.lit(None).cast("array<struct<first:bigint,n:bigint>>"))
     found = materialise(found, "found")  # so that the join below can split the rows of a text with many copies
     texts = _hash_texts(df, key, text, list(carry)).join(found, ["t1", "t2"], "left")
-    short = _list_short(df, text, words, length) if words else None
-    texts = texts.join(short, ["t1", "t2"], "left") if words else texts.withColumn("spans", F.lit(None).cast("array<struct<first:bigint,n:bigint>>"))
     some = lambda yes: F.transform(F.filter("cells", lambda c: c["mixed"] if yes else ~c["mixed"]), lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n")))
     empty = F.array().cast("array<struct<first:bigint,n:bigint>>")
     table = materialise(
