@@ -4,18 +4,22 @@ Texts are ASCII-lower-cased words between ASCII white space.  Their shingles of
 number of their occurrence in the text, so that repeats differ.  Each of `SKETCHES` hash functions takes
 the `SAMPLED` shingles with the least hashes and keeps them in text order; two texts agree in a sketch if
 they sampled the same shingles in the same order, which depends on order as edit distance does.  Texts
-of up to `SHORT` words have as many sketches of two-word shingles besides.  Those of up to `TINY` words,
-where a link is an edit of one word at most, also agree if they are equal after one word or none is
-left out of each: all links among these meet.
+of up to `SHORT` words have `FINE` sketches of two-word shingles besides, as few of their longer ones
+outlast an edit.  Those of up to `TINY` words, where a link is an edit of one word at most, also agree if
+they are equal after one word or none is left out of each: all links among these meet.
 
 Equal texts are one node.  In each bucket (texts that agree in a sketch) every node is paired with the
-least one.  Pairs are verified by the edit distance of their words, computed in a band that is as wide
+least one, and two nodes that other links connect needn't be looked at.  Pairs are verified by the edit distance of their words, computed in a band that is as wide
 as a similarity of `SIMILARITY` (1 - distance / words of the longer one) allows; a pair is a link if
-the distance is within it.  Then every two nodes of a bucket that these links leave in different
-components are paired too, so that a third text never hides a link: those outside the bucket's most
-frequent component with all others.  Of these pairs only those go on to be verified whose lengths and
-counts of words allow a link.  Classes are the connected components of links.  No bucket is cut or
-capped: one of texts that are all alike adds a pair a node, one of unlinked texts every pair.
+the distance is within it.  A bucket whose other nodes are in one component is done.  The nodes of all
+other buckets are mixed: any two of them that share a bucket and are in different components may still
+be a link, so that a third text never hides one.  A link leaves a text at least so many of its words
+that one of its rarest, a prefix of the words in the order of their frequency among mixed nodes, is
+among those of the other text.  So two mixed nodes are paired where they meet in such a word, share a
+bucket, differ in component and are near in length, at the first word they meet in, unless the parities
+of their words by class already differ in more places than a link can change.  Texts that share only a
+frequent passage have rare words of their own and are seldom paired.  Classes are the connected
+components of links.  No bucket is cut or capped.
 
 Defined cases: rows with equal texts, the empty one too, are one class; a null text is a class of its
 own with its own key as id; texts under three words have one shingle of all their words; texts of white
@@ -35,14 +39,19 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, read_table, small_batches
 from .components import components
 
-SHINGLE = 3
+SHINGLE = 5
 SIMILARITY = 0.8
 SAMPLED = 2
-SKETCHES = 48
-SHORT = 30
+SKETCHES = 96
+FINE = 48
+SHORT = 75
 TINY = 9
-#: Classes of words that are counted to rule out links.
-COUNTED = 64
+#: Bits of the classes of words whose frequencies order words; any order is right, rare words first is fast.
+CLASSES = 17
+#: Bits of the parities of words that are compared, in texts of up to as many words, before a pair is verified.
+PARITIES = 1024
+#: Words before a rare word that are compared to tell whether two texts met in one of them.
+BEFORE = 8
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -150,16 +159,17 @@ def left_out(texts: list[bytes]) -> list[list[int]]:
     return out
 
 
-def all_keys(texts: list[bytes]) -> tuple[list[list[int]], np.ndarray]:
+def all_keys(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     """The keys of the buckets that each text is in, and its words."""
     sig, has, n = sketches(texts)
-    keys = [x.tolist() if ok else [] for x, ok in zip(sig.view(np.int64), has, strict=True)]
+    none = np.zeros(0, np.int64)
+    keys = [x if ok else none for x, ok in zip(sig.view(np.int64), has, strict=True)]
     short = np.flatnonzero(has & (n <= SHORT)).tolist()
     if short:
         some = [texts[i] for i in short]
-        more = sketches(some, width=2)[0].view(np.int64)
-        for i, x, y in zip(short, more.tolist(), left_out(some), strict=True):
-            keys[i] = list(dict.fromkeys(keys[i] + x + y))
+        more = sketches(some, FINE, width=2)[0].view(np.int64)
+        for i, x, y in zip(short, more, left_out(some), strict=True):
+            keys[i] = np.concatenate([keys[i], x, np.array(y, np.int64)])
     return keys, n
 
 
@@ -222,7 +232,7 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 
 def _signatures(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, hash, n, sig, counts): 128-bit hash of the text, its words, its sketches (none without words), its counts of words; rows with a text."""
+    """(k, hash, n, sig): 128-bit hash of the text, its words, its sketches (none without words); rows with a text."""
     frame = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,34 +243,85 @@ def _signatures(df: DataFrame, key: str, text: str) -> DataFrame:
             numbers: dict[bytes, int] = {}
             which = [numbers.setdefault(t, len(numbers)) for t in texts]  # equal texts of a batch are sketched once
             keys, n = all_keys(list(numbers))
-            own = np.array(which, np.int64)
-            lists = pa.array([keys[i] for i in which], pa.list_(pa.int64()))
-            counts = [c.tobytes() for c in word_counts(list(numbers))]
-            columns = [b.column("k"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(n[own], pa.int64()), lists, pa.array([counts[i] for i in which], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "hash", "n", "sig", "counts"])
+            own = [keys[i] for i in which]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(n[np.array(which, np.int64)], pa.int64()), lists], ["k", "hash", "n", "sig"])
+
+    return frame.mapInArrow(run, f"k {frame.schema['k'].dataType.simpleString()}, hash binary, n long, sig array<long>")
+
+
+def labelled_words(text: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words with the number of their occurrence, so that no two are equal."""
+    words, _ = word_hashes([text])
+    order = np.argsort(words, kind="stable")
+    new = np.concatenate([[True], words[order][1:] != words[order][:-1]])[: len(words)]
+    at = np.arange(len(words))
+    nth = np.empty(len(words), np.uint64)
+    nth[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    with np.errstate(over="ignore"):
+        return _mixed(words + nth * _U(_BASE))
 
-    return frame.mapInArrow(run, f"k {frame.schema['k'].dataType.simpleString()}, hash binary, n long, sig array<long>, counts binary")
 
+def rare_words(words: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
+    """The words among which every text that is linked to this one has one, rarest first; of words that no other text has none."""
+    n = len(words)
+    prefix = min(n, int((1 - least) * n + 1e-9) + 1)  # the two texts have at least n - prefix + 1 words in common
+    times = often[(words >> _U(64 - CLASSES)).astype(np.int64)]
+    first = np.lexsort((words, times))[:prefix]
+    return words[first[times[first] > 1]]
 
-def word_counts(texts: list[bytes]) -> np.ndarray:
-    """Texts x `COUNTED`: how many words of each text fall in each class of hashes, up to 255."""
-    words, n = word_hashes(texts)
-    at = np.repeat(np.arange(len(texts)), n) * COUNTED + (words % _U(COUNTED)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=len(texts) * COUNTED), 255).astype(np.uint8).reshape(-1, COUNTED)
 
+def parities(words: np.ndarray) -> np.ndarray:
+    """For texts of up to `PARITIES` words, a bit for each class of hashes: whether the text has an odd number of words there."""
+    if len(words) > PARITIES:
+        return np.zeros(0, np.int64)
+    odd = np.bincount((words & _U(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-def _counts_allow(pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b) of those pairs (a, b, na, nb, ca, cb) whose counts of words allow a link: words that only one of two texts has cost an edit each."""
+
+def _often(texts: DataFrame) -> np.ndarray:
+    """How many labelled words of the texts (t) fall in each class of hashes: a number a class, at any size of the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COUNTED).astype(np.int16) for c in ("ca", "cb"))
-            more = x - y
-            apart = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
-            longer = np.maximum(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
-            yield batch.select(["a", "b"]).filter(pa.array(apart <= ((1 - least) * longer + 1e-9).astype(np.int64)))
+        sums = np.zeros(1 << CLASSES, np.int64)
+        for b in batches:
+            words = np.concatenate([np.zeros(0, np.uint64), *(labelled_words(t.encode("utf-8", "surrogatepass")) for t in b.column("t").to_pylist())])
+            sums += np.bincount((words >> _U(64 - CLASSES)).astype(np.int64), minlength=1 << CLASSES)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["class", "times"])
+
+    found = texts.select("t").mapInArrow(run, "class long, times long").groupBy("class").agg(F.sum("times").alias("times")).toArrow()
+    out = np.zeros(1 << CLASSES, np.int64)
+    out[found.column("class").to_numpy()] = found.column("times").to_numpy()
+    return out
 
-    return pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
+
+def _meetings(texts: DataFrame, often: np.ndarray, least: float) -> DataFrame:
+    """(id, word, prev, odd): the rare words of each text (id, t), up to `BEFORE` rare words before each, and the text's parities."""
+    held = texts.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, words, prev, sizes, odd = [], [], [], [], []
+            for i, t in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True):
+                every = labelled_words(t.encode("utf-8", "surrogatepass"))
+                w = rare_words(every, held.value, least).view(np.int64)
+                if len(w):
+                    at = np.arange(len(w))
+                    size = np.minimum(at, BEFORE)
+                    ids.append(np.full(len(w), i))
+                    words.append(w)
+                    sizes.append(size)
+                    odd.append((parities(every), len(w)))
+                    prev.append(w[np.repeat(at - size, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)])
+            none = [np.zeros(0, np.int64)]
+            several = lambda n, x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(none + x)))
+            before = several(np.concatenate(none + sizes), prev)
+            bits = several(np.repeat([len(x) for x, _ in odd], [n for _, n in odd]) if odd else none[0], [np.tile(x, n) for x, n in odd])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + ids)), pa.array(np.concatenate(none + words)), before, bits], ["id", "word", "prev", "odd"])
+
+    return texts.select("id", "t").mapInArrow(run, "id long, word long, prev array<long>, odd array<long>")
 
 
 def _text_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -289,32 +350,39 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _joined(pairs: DataFrame, texts: DataFrame, labels: DataFrame | None, least: float) -> tuple[DataFrame, DataFrame]:
+    """The labels of nodes with the links among pairs besides those that `labels` stand for, and the table of these."""
+    links = _verified(pairs, texts, least)
+    if labels is not None:
+        links = labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(links)  # as connected as the links so far
+    links = materialise(links, "links")
+    return components(links), links
+
+
 def _stars(buckets: DataFrame) -> DataFrame:
     """Pairs (a, b) of the least node of each bucket (key, id, n) with its others, if their lengths allow a link."""
     least = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "m")
     return buckets.join(least, "key").select(F.col("m.id").alias("a"), F.col("id").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"), "key").where("a <> b")
 
 
-def _apart(stars: DataFrame, labels: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b) of nodes that share a bucket but no label, but for the least node of each bucket, if their lengths and counts of words allow a link."""
+def _apart(stars: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket but no label and may be a link; none of the least node of a bucket, which was paired with all."""
     members = stars.select("key", F.col("b").alias("id"), F.col("nb").alias("n")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = (
-        members.groupBy("key", "label").agg(F.count("*").alias("of")).groupBy("key")
-        .agg(F.max(F.struct("of", "label")).alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.col("most.label").alias("main"))
-    )
-    width = float(-np.log(least)) + 1e-6 if least > 0 else float("inf")  # lengths of a link are in the same class or in neighbours
-    rows = materialise(members.join(mixed, "key").join(nodes.select("id", "counts"), "id").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / width)), "mixed")
-    x = rows.where("label <> main").select("key", "id", "n", "label", "counts", F.explode(F.array(*[F.col("size") + i for i in (-1, 0, 1)])).alias("size")).alias("x")
-    y = rows.alias("y")
+    members = materialise(members, "members")
+    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    nodes = materialise(members.join(mixed, "key").groupBy("id", "n", "label").agg(F.collect_set("key").alias("keys")), "mixed")  # as many keys as sketches at most
+    own = materialise(texts.join(nodes.select("id"), "id"), "mixed-texts")
+    rows = materialise(_meetings(own, _often(own), least).join(nodes, "id"), "meetings")
+    x, y = rows.alias("x"), rows.alias("y")
+    differ = sum((F.bit_count(F.get("x.odd", F.lit(i)).bitwiseXOR(F.get("y.odd", F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
     meets = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.label") != F.col("y.label"))
-        & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
+        (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
         & (F.abs(F.col("x.n") - F.col("y.n")) <= F.greatest("x.n", "y.n") * (1 - least) + 1e-9)
+        & F.coalesce(differ <= 2 * (F.greatest("x.n", "y.n") * (1 - least) + 1e-9), F.lit(True))
+        & F.arrays_overlap("x.keys", "y.keys") & ~F.arrays_overlap("x.prev", "y.prev")
     )
-    pairs = x.join(y, meets).select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.counts").alias("ca"), F.col("y.counts").alias("cb"))
-    out = materialise(_counts_allow(pairs, least).distinct(), "apart")
-    discard(rows)
+    out = materialise(x.join(y, meets).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "apart")
+    discard(members, nodes, own, rows)
     return out
 
 
@@ -355,23 +423,25 @@ def _classes(df: DataFrame, key: str, text: str, least: float) -> tuple[DataFram
     small_batches(spark)
     sigs = materialise(_signatures(df, key, text), "sketches")
     nodes = materialise(
-        sigs.groupBy("hash").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("counts").alias("counts")).withColumn("id", F.monotonically_increasing_id()), "nodes")
+        sigs.groupBy("hash").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()), "nodes")
     buckets = nodes.where(F.size("sig") > 0).select("id", "n", F.explode("sig").alias("key"))
     near_in_size = (F.abs(F.col("na") - F.col("nb")) <= F.greatest("na", "nb") * (1 - least) + 1e-9)
     stars = materialise(_stars(buckets), "stars")
-    pairs = stars.where(near_in_size).select("a", "b").distinct()
+    pairs = materialise(stars.where(near_in_size).select("a", "b").distinct(), "pairs")
     wanted = materialise(stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct(), "wanted")
     own = nodes.join(wanted, "id", "left_semi").select("id", "hash", F.col("rep").alias("k"))
     # the one shuffle of texts: those of nodes that share a bucket stay
     same = (F.col("d.hash") == F.col("o.hash")) & F.col("d.k").eqNullSafe(F.col("o.k"))
     texts = materialise(_text_of(df, key, text).alias("d").join(own.alias("o"), same).select("o.id", "d.t").dropDuplicates(["id"]), "texts")
-    links = materialise(_verified(pairs, texts, least), "links")
-    labels = components(links)
-    more = materialise(_apart(stars, labels, nodes, least).join(pairs, ["a", "b"], "left_anti"), "more")
-    known = labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))  # as connected as the links so far
-    all_links = materialise(known.unionByName(_verified(more, texts, least)), "links")
-    labels = components(all_links)
-    discard(stars, wanted, texts, links, more, all_links)
+    # one pair of each node first: most of the others then have one label and needn't be verified
+    first = materialise(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    labels, done = _joined(first, texts, None, least)
+    a_label, b_label = (labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")) for c in ("a", "b"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(a_label, "a", "left").join(b_label, "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
+    labels, more_done = _joined(materialise(rest.select("a", "b"), "rest"), texts, labels, least)
+    apart = materialise(_apart(stars, labels, texts, least).join(pairs, ["a", "b"], "left_anti"), "more")
+    labels, last_done = _joined(apart, texts, labels, least)
+    discard(stars, wanted, pairs, texts, first, apart, done, more_done, last_done)
     return sigs, nodes.select("hash", "id", "rep").join(labels, "id", "left").select("hash", "rep", F.coalesce("label", "id").alias("label"))
 
 
