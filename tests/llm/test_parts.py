@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -323,10 +324,25 @@ def test_top_k(spark):
     rows += [(200, rows[200][1], 1), (301, [], 0), (None, rows[5][1], 0)] + [(400 + i, rows[0][1], 0) for i in range(30)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, row int")
     got = topk.top_k(df, F.col("vec_id") % 100 == 0, 10, vectors=64, queries=2).collect()
-    ok = [(n, k, np.floor(1024 * np.array(v, np.float64)).astype(int)) for n, (k, v, _) in enumerate(rows) if k is not None and v is not None and None not in v and all(map(math.isfinite, v))]
+    ok = [(n, k, np.floor(1024 * np.array(v, np.float64)).astype(int)) for n, (k, v, _) in enumerate(rows) if v is not None and None not in v and all(map(math.isfinite, v))]
     want = []
     for n, k, v in ok:
-        if k % 100 == 0:
-            best = sorted((-int(v[: len(x)] @ x[: len(v)]), j, m) for m, j, x in ok if m != n)[:10]
-            want += [(k, i + 1, j, -s) for i, (s, j, _) in enumerate(best)]
-    assert sorted(map(tuple, got)) == sorted(want)
+        if k is not None and k % 100 == 0:
+            best = sorted((-int(v[: len(x)] @ x[: len(v)]), j is None, j or 0, m) for m, j, x in ok if m != n)[:10]
+            want += [(k, i + 1, None if none else j, -s) for i, (s, none, j, _) in enumerate(best)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("kind, sizes", [("float", (1.0, 1e6)), ("float", (1e-3, 40000.0, 1e37)), ("double", (1.0, 1e15, 1e308))])
+def test_top_k_of_large_components(spark, kind, sizes):
+    """Finite components of any size take part; scores beyond 64 bits are ranked exactly."""
+    r = random.Random(5)
+    rows = [(i, [float(np.float32(r.gauss(0, 1) * r.choice(sizes))) if kind == "float" else r.uniform(-1, 1) * r.choice(sizes) for _ in range(4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got = topk.top_k(df, F.col("vec_id") % 100 == 0, 10, vectors=64, queries=2).collect()
+    ints = [[math.floor(1024 * Fraction(x)) if abs(x) < 2**50 else 1024 * int(x) for x in v] for _, v in rows]
+    want = []
+    for q in range(0, 300, 100):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], x, strict=True)), i) for i, x in enumerate(ints) if i != q)[:10]
+        want += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == want
