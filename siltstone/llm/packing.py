@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, read_table, small_batches
+from .common import discard, materialise, partitions, read_table, small_batches
 from .tokens import tokenizer
 
 CAPACITY = 4096
@@ -191,9 +191,11 @@ def _plan(counts: dict[int, int], capacity: int, most: int) -> tuple[list[tuple[
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (k, piece, length, ...); every other column is carried."""
     spark = pieces.sparkSession
-    tagged = pieces.withColumn("_tag", F.monotonically_increasing_id())
+    # written first, a few bytes a piece: range partitioning reads its input twice, and texts are tokenised once
+    tagged = materialise(pieces.withColumn("_tag", F.monotonically_increasing_id()), "pieces")
     order = ["length", "k", "piece", "_tag"]
     ranged = materialise(tagged.repartitionByRange(partitions(spark), *order).withColumn("_part", F.spark_partition_id()), "packing")
+    discard(tagged)
     # neighbouring partitions share at most one length: these counts have at most partitions + capacity rows
     counts = ranged.groupBy("length", "_part").agg(F.count("*").alias("n"))
     rows, _ = plan_packing({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}, capacity)

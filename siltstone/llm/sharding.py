@@ -8,7 +8,8 @@ are cut on (key, crc, row tag), so that a key that many rows share is split as w
 
 Defined cases: a null text has size 1 and a null crc; an empty text has size 1 and crc 0; null keys
 sort first; repeated keys and repeated rows are ordered by crc and then by a row tag, each row gets a
-slot of its own; an empty table gives no rows; other columns of the input are not read.
+slot of its own, and copies of a text may lie in different shards, as the law is `bytes` and the order
+is the key's; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
