@@ -12,17 +12,19 @@ it covers is removed.  Matches never cross texts.
    one symbol and only up to WIDE - 1 bytes on either side are left: a window of LENGTH bytes is then
    a string of exactly WIDE symbols.
 3. These compressed texts, grouped by core and each kept once with its number of occurrences, are
-   indexed: suffix array, run-length Burrows-Wheeler transform, and text positions sampled at run ends.
-   Matching statistics are streamed in text order: at a sampled position the common prefix with the
-   neighbouring suffix is compared, and from one position to the next inside a run it shrinks by one.
-   A statistic of WIDE or more marks a window that occurs elsewhere.
+   indexed: from a suffix array come the runs of the Burrows-Wheeler transform, and text positions are
+   sampled at both ends of every run.  Matching statistics are streamed in text order: at a sampled
+   position the common prefix with the neighbouring suffix is compared, and where the next position is
+   inside a run it is one less.  A statistic of WIDE or more marks a window that occurs elsewhere.
+   A group of more than `GROUP` different compressed texts is halved first: of a window's WIDE - 1 bytes
+   beside the core, half or more are on its left or its right, and these join the core.  So windows of
+   half the width are looked for in finer groups, again and again, until a window is all core.
 4. Marks go back to the texts, whose covered bytes are removed.
 
 A number of words may be given besides: then repeated strings of so many words (between ASCII white space)
 go too where they are shorter than LENGTH.  These are counted one by one by 128-bit hash; longer ones hold a window.
 
-`LENGTH` may be any from 128 bytes on.  Groups of more than `GROUP` different compressed texts are not gathered in one task: there the windows
-themselves are counted by 128-bit hash.  Hashes stand for equality only at 128 bits.
+`LENGTH` may be any from 128 bytes on.  Hashes stand for equality only at 128 bits.
 
 Defined cases: a null text counts as empty: nothing is removed; texts shorter than LENGTH lose nothing;
 repeated rows are repeats of each other; a text may repeat itself, and overlapping occurrences count;
@@ -44,7 +46,7 @@ from .common import discard, materialise, partitions, read_table, small_batches
 LENGTH = 400
 GRAM = 24
 WIDE = 64
-GROUP = 200_000
+GROUP = 10_000
 #: Bytes of a text hashed at a time.
 STRETCH = 1 << 19
 
@@ -151,9 +153,9 @@ class RunLengthIndex:
         order = suffix_array(text)
         last = text[order - 1]  # the text's first position follows its last symbol, a separator
         head = np.concatenate([[True], last[1:] != last[:-1]])
-        tail = np.append(head[1:], True)
         self.run_symbols, self.run_lengths = last[head], np.diff(np.append(np.flatnonzero(head), len(text)))
-        starts, ends = np.flatnonzero(head), np.flatnonzero(tail)
+        ends = np.cumsum(self.run_lengths) - 1
+        starts = ends - self.run_lengths + 1
         # text positions at run heads with the suffix before each, and at run ends with the suffix after each
         self.heads = order[starts], np.where(starts > 0, order[starts - 1], -1)
         after = ends + 1 < len(order)
@@ -359,9 +361,9 @@ def _list_sub_cells(pending: DataFrame, length: int, with_bytes: bool) -> DataFr
     return pending.mapInArrow(run, ("g1 long, g2 long, " if with_bytes else "") + f"c1 long, c2 long, {more}")
 
 
-def _index_groups(classes: DataFrame) -> DataFrame:
+def _index_groups(classes: DataFrame, wide: int) -> DataFrame:
     """(c1, c2, mask) of compressed texts whose marks aren't empty; a group's rows come one after the other."""
-    at_once = 20_000  # compressed texts in one index, but for a larger group
+    at_once = GROUP  # compressed texts in one index, but for a larger group
 
     def solve(rows: pa.Table):
         g1, g2 = rows.column("g1").to_numpy(), rows.column("g2").to_numpy()
@@ -373,7 +375,7 @@ def _index_groups(classes: DataFrame) -> DataFrame:
         if not len(keep):
             return
         rows = rows.take(pa.array(keep))
-        got = marks(group[keep], times[keep], rows.column("left").to_pylist(), rows.column("right").to_pylist())
+        got = marks(group[keep], times[keep], rows.column("left").to_pylist(), rows.column("right").to_pylist(), wide)
         hit = np.flatnonzero(got)
         yield pa.RecordBatch.from_arrays([rows.column("c1").combine_chunks().take(pa.array(hit)), rows.column("c2").combine_chunks().take(pa.array(hit)), pa.array(got[hit].view(np.int64))], ["c1", "c2", "mask"])
 
@@ -396,25 +398,44 @@ def _index_groups(classes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "c1 long, c2 long, mask long")
 
 
-def _count_windows(classes: DataFrame) -> DataFrame:
-    """The same for groups of any size: every window is counted by its 128-bit hash."""
+def _halved(classes: DataFrame, wide: int) -> DataFrame:
+    """Two compressed texts of half the width for each: (c1, c2, shift, n1, n2, g1, g2, left, right, times); n is the new one's hash, shift the bits that its windows are behind."""
+    half = wide // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        digest = xxhash.xxh3_128_digest
         for b in batches:
-            own, rows, bit = [], [], []
+            rows, shift, core, own, lefts, rights = [], [], [], [], [], []
             for r, (a, z, left, right) in enumerate(zip(*[b.column(c).to_pylist() for c in ("g1", "g2", "left", "right")], strict=True)):
-                for i in range(max(0, WIDE - 1 - len(right)), min(len(left), WIDE - 1) + 1):
-                    own.append(xxhash.xxh3_128_digest(b"%d %d %d " % (a, z, i) + left[len(left) - i :] + right[: WIDE - 1 - i]))
-                    rows.append(r)
-                    bit.append(i)
+                for by, bytes_in, x, y in ((0, right[:half], left[max(0, len(left) - half + 1) :], right[half : 2 * half - 1]), (half, left[max(0, len(left) - half) :], left[max(0, len(left) - 2 * half + 1) : max(0, len(left) - half)], right[: half - 1])):
+                    if len(bytes_in) == half:
+                        name = digest(b"%d %d %d " % (a, z, by) + bytes_in)
+                        rows.append(r)
+                        shift.append(by)
+                        core.append(name)
+                        own.append(digest(b"%s%d %s%s" % (name, len(x), x, y)))
+                        lefts.append(x)
+                        rights.append(y)
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*_halves(own), *[b.column(c).take(take) for c in ("c1", "c2", "times")], pa.array(bit, pa.int32())], ["w1", "w2", "c1", "c2", "times", "bit"])
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c).take(take) for c in ("c1", "c2")], pa.array(shift, pa.int32()), *_halves(own), *_halves(core), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary()), b.column("times").take(take)],
+                ["c1", "c2", "shift", "n1", "n2", "g1", "g2", "left", "right", "times"])
 
-    windows = classes.mapInArrow(run, "w1 long, w2 long, c1 long, c2 long, times long, bit int")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("times").alias("all")).where("all > 1").select("w1", "w2")
-    return windows.join(twice, ["w1", "w2"]).groupBy("c1", "c2").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    return classes.mapInArrow(run, "c1 long, c2 long, shift int, n1 long, n2 long, g1 long, g2 long, left binary, right binary, times long")
+
+
+def _masks(classes: DataFrame, group: int, wide: int = WIDE) -> DataFrame:
+    """(c1, c2, mask) of compressed texts whose marks aren't empty; groups above `group` are halved in width until they are small or a window is all core."""
+    large = classes.groupBy("g1", "g2").agg(F.count("*").alias("size")).where(F.col("size") > group).select("g1", "g2")
+    if wide == 1 or large.isEmpty():
+        return _index_groups(classes, wide)
+    halves = materialise(_halved(classes.join(large, ["g1", "g2"], "left_semi"), wide), "halves")
+    finer = materialise(halves.groupBy("n1", "n2", "g1", "g2", "left", "right").agg(F.sum("times").alias("times")).withColumnsRenamed({"n1": "c1", "n2": "c2"}), "finer")
+    found = halves.join(_masks(finer, group, wide // 2).withColumnsRenamed({"c1": "n1", "c2": "n2"}), ["n1", "n2"])
+    found = found.groupBy("c1", "c2").agg(F.bit_or(F.expr("shiftleft(mask, shift)")).alias("mask"))
+    return _index_groups(classes.join(large, ["g1", "g2"], "left_anti"), wide).unionByName(found)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), group: int = GROUP, words: int = 0) -> DataFrame:
@@ -437,11 +458,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     discard(listed, found, *([short] if words else []))
     pending = table.where(F.size("mixed") > 0).select("id", "t", "mixed")
     classes = materialise(_list_sub_cells(pending, length, True).groupBy("g1", "g2", "c1", "c2", "left", "right").agg(F.count("*").alias("times")), "classes")
-    large = classes.groupBy("g1", "g2").agg(F.count("*").alias("size")).where(F.col("size") > group).select("g1", "g2")
-    if large.isEmpty():
-        masks = _index_groups(classes)
-    else:
-        masks = _index_groups(classes.join(large, ["g1", "g2"], "left_anti")).unionByName(_count_windows(classes.join(large, ["g1", "g2"], "left_semi")))
+    masks = _masks(classes, group)
     places = _list_sub_cells(pending, length, False).join(masks, ["c1", "c2"]).groupBy("id").agg(F.collect_list(F.struct("p", "g", "mask")).alias("masks"))
     whole = table.where(F.size("mixed") == 0).withColumn("masks", F.array().cast("array<struct<p:bigint,g:int,mask:bigint>>"))
     mixed = table.where(F.size("mixed") > 0).join(places, "id", "left")
