@@ -47,11 +47,11 @@ FINE = 48
 SHORT = 75
 TINY = 9
 #: Bits of the classes of words whose frequencies order words; any order is right, rare words first is fast.
-CLASSES = 17
+CLASSES = 20
 #: Bits of the parities of words that are compared, in texts of up to as many words, before a pair is verified.
 PARITIES = 1024
-#: Words before a rare word that are compared to tell whether two texts met in one of them.
-BEFORE = 8
+#: Rare words before one that are compared to tell whether two texts met in one of them already, in texts with parities and in longer ones.
+BEFORE = 32, 8
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -292,13 +292,13 @@ def _often(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["class", "times"])
 
     found = texts.select("t").mapInArrow(run, "class long, times long").groupBy("class").agg(F.sum("times").alias("times")).toArrow()
-    out = np.zeros(1 << CLASSES, np.int64)
-    out[found.column("class").to_numpy()] = found.column("times").to_numpy()
+    out = np.zeros(1 << CLASSES, np.int32)
+    out[found.column("class").to_numpy()] = np.minimum(found.column("times").to_numpy(), 2**31 - 1)
     return out
 
 
 def _meetings(texts: DataFrame, often: np.ndarray, least: float) -> DataFrame:
-    """(id, word, prev, odd): the rare words of each text (id, t), up to `BEFORE` rare words before each, and the text's parities."""
+    """(id, word, prev, odd): the rare words of each text (id, t), up to so many rare words before each, and the text's parities."""
     held = texts.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +309,7 @@ def _meetings(texts: DataFrame, often: np.ndarray, least: float) -> DataFrame:
                 w = rare_words(every, held.value, least).view(np.int64)
                 if len(w):
                     at = np.arange(len(w))
-                    size = np.minimum(at, BEFORE)
+                    size = np.minimum(at, BEFORE[len(every) > PARITIES])
                     ids.append(np.full(len(w), i))
                     words.append(w)
                     sizes.append(size)
