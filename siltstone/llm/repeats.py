@@ -326,9 +326,9 @@ def _list_short(df: DataFrame, text: str, words: int, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*_halves(own), *_halves(name), pa.array(first, pa.int64()), pa.array(n, pa.int64())], ["h1", "h2", "t1", "t2", "first", "n"])
 
     listed = materialise(frame.mapInArrow(run, "h1 long, h2 long, t1 long, t2 long, first long, n long"), "short")
-    twice = listed.groupBy("h1", "h2").agg(F.count("*").alias("all")).where("all > 1").select("h1", "h2")
+    twice = materialise(listed.groupBy("h1", "h2").agg(F.count("*").alias("all")).where("all > 1").select("h1", "h2"), "twice")  # so that the join can split a hot one
     out = materialise(listed.join(twice, ["h1", "h2"]).groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "n")).alias("spans")), "spans")
-    discard(listed)
+    discard(listed, twice)
     return out
 
 
