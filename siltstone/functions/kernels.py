@@ -109,7 +109,7 @@ CUTTERS = {"ae": ae_cuts, "rabin": rabin_cuts, "whole": lambda raw: [len(raw)] i
 class FeatureParams:
     """`groups` super-features of `width` features each; coefficients (odd multiplier, addend) come from a seeded generator, one pair a feature."""
 
-    def __init__(self, groups: int = 2, width: int = 2, seed: int = 20160328):
+    def __init__(self, groups: int = 2, width: int = 2, seed: int = 48):
         r = np.random.default_rng(seed)
         self.groups, self.width = groups, width
         self.multiply = r.integers(0, 1 << 32, groups * width, dtype=np.uint32) | np.uint32(1)

@@ -27,41 +27,54 @@ def unresolved(chunks: DataFrame, placed: DataFrame) -> DataFrame:
     return chunks.join(placed.select("chunk_hash"), "chunk_hash", "left_anti")
 
 
-def restore(recipe: DataFrame, packed: DataFrame) -> DataFrame:
-    """(file_id, data): the parts (packed_offset, data) of each file in recipe order."""
+def restore(recipe: DataFrame, packed: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(file_id, data): the parts (packed_offset, data) of each file in recipe order.
+
+    With the files (file_id, ...), each of them has a row: one without chunks, empty or null, comes back empty."""
     parts = recipe.join(packed.select("packed_offset", "data"), "packed_offset")
     listed = parts.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("p"))
-    return listed.select("file_id", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.data))").alias("data"))
+    if files is not None:
+        listed = files.select("file_id").join(listed, "file_id", "left")
+    return listed.select("file_id", F.coalesce(F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.data))"), F.lit(b"")).alias("data"))
 
 
 def read_units(placed: DataFrame, limit: int = 4 << 20) -> DataFrame:
-    """(part, unit_no, file_id, offset, length, lifetime): reads in layout order, widened while the file stays
+    """(run, unit_no, file_id, offset, length, lifetime): reads in layout order, widened while the file stays
     and the span keeps within `limit`; lifetime counts the chunks a read serves.
 
-    The fold is sequential; it runs over ranges of the layout, and a unit that a range's edge cuts is two."""
-    spread = placed.select("layout_ord", "file_id", "src_offset", "chunk_size")
-    spread = spread.repartitionByRange(partitions(placed.sparkSession), "layout_ord").sortWithinPartitions("layout_ord")
+    A unit never leaves a run, the longest stretch of the layout with one file.  Runs are numbered over the
+    whole layout and each is folded by itself in layout order, so that units don't depend on partitions."""
+    rows = placed.select("layout_ord", "file_id", "src_offset", "chunk_size")
+    before = rows.select((F.col("layout_ord") + 1).alias("layout_ord"), F.col("file_id").alias("before"))
+    fresh = F.when(F.col("before").eqNullSafe(F.col("file_id")), 0).otherwise(1).cast("long")
+    marked = running(rows.join(before, "layout_ord", "left").withColumn("fresh", fresh), ["layout_ord"], "fresh", "earlier", "nth")
+    marked = marked.select((F.col("earlier") + F.col("fresh") - 1).alias("run"), *rows.columns)
+    spread = marked.repartition(partitions(placed.sparkSession), "run").sortWithinPartitions("run", "layout_ord")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        names = ["run", "unit_no", "file_id", "offset", "length", "lifetime"]
+        now = None  # run, unit, file, first byte, past the last, chunks
+
+        def batch(done: list[list[int]]) -> pa.RecordBatch:
+            made = [(r, u, f, o, e - o, n) for r, u, f, o, e, n in done]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 5 else pa.int64()) for i, c in enumerate(zip(*made, strict=True))], names)
 
-        part, rows, now = TaskContext.get().partitionId(), [], None
         for b in batches:
-            for f, o, n in zip(*[b.column(c).to_pylist() for c in ("file_id", "src_offset", "chunk_size")], strict=True):
-                if now and now[0] == f and max(now[2], o + n) - min(now[1], o) <= limit:
-                    now[1], now[2], now[3] = min(now[1], o), max(now[2], o + n), now[3] + 1
+            done = []
+            for r, f, o, n in zip(*[b.column(c).to_pylist() for c in ("run", "file_id", "src_offset", "chunk_size")], strict=True):
+                same = now is not None and now[0] == r
+                if same and max(now[4], o + n) - min(now[3], o) <= limit:
+                    now[3], now[4], now[5] = min(now[3], o), max(now[4], o + n), now[5] + 1
                     continue
                 if now:
-                    rows.append(now)
-                now = [f, o, o + n, 1]
+                    done.append(now)
+                now = [r, now[1] + 1 if same else 0, f, o, o + n, 1]
+            if done:
+                yield batch(done)
         if now:
-            rows.append(now)
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] - r[1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int32())], ["part", "unit_no", "file_id", "offset", "length", "lifetime"])
+            yield batch([now])
 
-    return spread.mapInArrow(run, "part int, unit_no long, file_id long, offset long, length long, lifetime int")
+    return spread.mapInArrow(run, "run long, unit_no long, file_id long, offset long, length long, lifetime int")
 
 
 def segments(packed: DataFrame, size: int = 1 << 20) -> DataFrame:

@@ -69,7 +69,8 @@ class Archive:
         return chunking.slices(self.files, self.layout.select("file_id", "src_offset", F.col("chunk_size").cast("int").alias("chunk_size"), "packed_offset")).select("packed_offset", "data")
 
     def restored(self) -> DataFrame:
-        return layout.restore(self.recipes, self.packed)
+        """(file_id, data) of every file; an empty and a null payload come back empty, as from the container."""
+        return layout.restore(self.recipes, self.packed, self.files)
 
     def write(self, path: str, mode: str = "errorifexists", codec: str | None = None) -> str:
         """Write the container, compressed by a codec if one is named; returns the file's path."""

@@ -275,8 +275,10 @@ def sf_short(spark, sf):
 
 
 def similar_groups(spark, sf):
-    g = Archive(_files(spark, sf), "whole").groups.groupBy("leader").agg(F.count("*").alias("n"))
-    return g.agg(F.sum("n").alias("members"), (F.count("*") <= F.sum("n")).alias("led"))
+    """Members of all groups, how many of them don't come before their leader, and how many groups their own leader leads or nobody."""
+    g = Archive(_files(spark, sf), "whole").groups
+    groups = g.groupBy("leader").agg(F.count("*").alias("n"), F.count(F.when(F.col("arrival") >= F.col("leader"), 1)).alias("later"), F.count(F.when(F.col("arrival") == F.col("leader"), 1)).alias("own"))
+    return groups.agg(F.sum("n").alias("members"), F.sum("later").alias("not_before"), F.count(F.when(F.col("own") != 1, 1)).alias("without_leader"))
 
 
 def similar_leaders(spark, sf, method="whole"):
@@ -362,6 +364,7 @@ _DOCS = f"d as (select doc_id, text, lang, cast({_N} as bigint) as n, sha1(text)
 _UNIQUE = "u as (select h, n, min(doc_id) as first_doc, count(*) as occurrences from d group by h, n)"
 _PLACED = "l as (select *, cast(coalesce(sum(n) over (order by first_doc rows between unbounded preceding and 1 preceding), 0) as bigint) as packed_offset, row_number() over (order by first_doc) - 1 as layout_ord from u)"
 _ALL = f"select doc_id, cast({_N} as bigint) as n, sha1(text) as h from documents where text is not null"
+_EVERY = "select doc_id, cast(octet_length(encode(coalesce(text, ''))) as bigint) as n, sha1(coalesce(text, '')) as h from documents"
 _SOME = f"{_ALL} and text <> ''"
 _SOME_N = f"select doc_id, cast({_N} as bigint) as n from documents where text <> ''"
 
@@ -393,8 +396,8 @@ ORACLE_SQL = {
     "layout_arrival": f"with {_DOCS}, {_UNIQUE}, {_PLACED} select h, layout_ord, packed_offset, n from l",
     "recipe_rewrite": f"with {_DOCS}, {_UNIQUE}, {_PLACED} select d.doc_id, cast(0 as bigint) as seq, l.packed_offset, d.n from d join l using (h)",
     "recipe_unresolved": "select cast(0 as bigint) as unresolved",
-    "restore": _SOME,
-    "restore_adjacent": _SOME,
+    "restore": _EVERY,
+    "restore_adjacent": _EVERY,
     "header_size": f"with {_DOCS} select cast(16 + sum(18 + length('f/' || doc_id) + 12) as bigint) as header_bytes from d",
     "container_roundtrip": f"with {_DOCS} select 'f/' || doc_id as filename, n as file_size, cast(1 as bigint) as chunk_count, h from d",
     "read_units": "select true as all_chunks, true as within",
@@ -403,7 +406,7 @@ ORACLE_SQL = {
     "super_features": "select sha1(text) as h, count(*) as files, cast(1 as bigint) as signatures, cast(2 as bigint) as width from documents where text <> '' group by 1",
     "super_features_wide": "select distinct sha1(text) as h, cast(1 as bigint) as signatures, cast(4 as bigint) as width from documents where text <> ''",
     "sf_short": f"select count(*) as files, count(*) filter (where {_N} < 48) as short_files, cast(least(1, count(*) filter (where {_N} < 48)) as bigint) as short_signatures from documents where text <> ''",
-    "similar_groups": f"with {_DOCS} select count(distinct h) as members, true as led from d",
+    "similar_groups": f"with {_DOCS} select count(distinct h) as members, count(distinct h) as not_before, cast(0 as bigint) as without_leader from d",
     "dup_adjacency": f"with {_DOCS} select count(distinct h) as rows, count(distinct h) as uniques from d",
     "fnv1_64": """select doc_id, cast(list_reduce([('0x' || x)::UHUGEINT for x in regexp_extract_all(hex(text), '..')], lambda h, b: xor((h * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, b), 14695981039346656037::UHUGEINT) as varchar) as fnv
         from documents""",

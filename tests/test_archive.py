@@ -1,8 +1,8 @@
 import pytest
 
-from siltstone.operators import codecs
+from siltstone.operators import codecs, layout
 from siltstone.plans.archive import Archive
-from siltstone.plans.storage import fresh_path
+from siltstone.plans.storage import fresh_path, shared_dir
 from siltstone.sources import container, payloads
 
 ROWS = [(1, "a" * 9000), (2, None), (3, ""), (4, "é" * 6000), (5, "a" * 9000), (6, "x"), (7, "b" * 70000 + "a" * 9000)]
@@ -17,7 +17,7 @@ def files(spark):
 def test_lossless(spark, method, order):
     a = Archive(files(spark), method, order)
     got = {r["file_id"]: bytes(r["data"]).decode() for r in a.restored().collect()}
-    assert got == {k: v for k, v in ROWS if v}
+    assert got == {k: v or "" for k, v in ROWS}
 
 
 def test_container(spark):
@@ -76,3 +76,29 @@ def test_names(spark):
     assert payloads.archive_name([]) is None and payloads.archive_name(["./a/b//"]) == "b" and payloads.archive_name(["a", "b"]) == "mc"
     df = spark.createDataFrame([("../x/./y",), ("a/../b",), ("./z",)], "n string")
     assert [r[0] for r in df.select(payloads.restore_path_column(df.n)).collect()] == ["x/./y", None, "z"]
+
+
+@pytest.mark.parametrize("order", ["arrival", "grouped"])
+def test_read_units(spark, order):
+    """Units are those of one pass over the whole layout, whatever its partitions."""
+    a, limit = Archive(files(spark), "ae", order), 9600
+    want, now = [], None
+    for c in a.layout.orderBy("layout_ord").collect():
+        start, stop = c["src_offset"], c["src_offset"] + c["chunk_size"]
+        if now and now[0] == c["file_id"] and max(now[2], stop) - min(now[1], start) <= limit:
+            now[1], now[2], now[3] = min(now[1], start), max(now[2], stop), now[3] + 1
+        else:
+            now = [c["file_id"], start, stop, 1]
+            want.append(now)
+    assert any(n > 1 for *_, n in want)
+    for parts in (1, 5):
+        got = layout.read_units(a.layout.repartition(parts), limit).orderBy("run", "unit_no").collect()
+        assert [[u["file_id"], u["offset"], u["offset"] + u["length"], u["lifetime"]] for u in got] == want
+
+
+def test_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    context = SimpleNamespace(master="spark://x:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
