@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches
+from .common import materialise, read_table, small_batches
 
 WINDOW = 10
 BLOCK = 8
@@ -115,13 +115,39 @@ def _matcher(items: list[tuple[object, str | None]], window: int):
     return match
 
 
+def _pieces(items: DataFrame, window: int, size: int) -> DataFrame:
+    """Items (i, t) as pieces of about `size` bytes of words at most that have the same windows: neighbours share window - 1 words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = [], []
+            for i, t in zip(b.column("i").to_pylist(), b.column("t").to_pylist(), strict=True):
+                words = words_of(t)
+                at = 0
+                while words:
+                    to, held = at, 0
+                    while to < len(words) and (held < size or to < at + window):
+                        held += len(words[to]) + 1
+                        to += 1
+                    ids.append(i)
+                    texts.append(b" ".join(words[at:to]).decode("utf-8", "surrogatepass"))
+                    if to == len(words):
+                        break
+                    at = to - window + 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["i", "t"])
+
+    return items.mapInArrow(run, "i string, t string")
+
+
 def mark_benchmark(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
                    window: int = WINDOW, carry: tuple[str, ...] = (), pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(key, n_words, hit_words, items) and the carried columns for each row: the numbers of the words
     inside an occurrence and the sorted ids of the items that occur.
 
     The benchmark goes to the executors in passes of bounded size: within the bound one pass over the
-    texts, beyond it one pass for each part of the items, joined by row."""
+    texts, beyond it one pass for each part of the items, joined by row.  Then long items are cut into
+    pieces, so that no part is much above the bound, and the numbered rows are written first, so that
+    every pass sees the same numbers."""
     spark = df.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
@@ -132,6 +158,9 @@ def mark_benchmark(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     schema = ", ".join(f"{n} {frame.schema[n].dataType.simpleString()}" for n in ["k", *kept])
     schema += ", row long, n_words long, hit_words array<int>, items array<string>"
     frame = frame.withColumn("row", F.monotonically_increasing_id())
+    if passes > 1:
+        frame = materialise(frame, "rows")
+        items = materialise(_pieces(items, window, max(1, pass_bytes // 8)).distinct(), "items")
 
     def one_pass(part: int) -> DataFrame:
         mine = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == part) if passes > 1 else items

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.llm import components, lattice, language, neardup, packing, repeats, token_files, tokens, topk
-from siltstone.llm.decontaminate import WuManber
+from siltstone.llm.decontaminate import WuManber, mark_benchmark
 
 from .fixtures import documents, library
 
@@ -346,3 +346,15 @@ def test_top_k_of_large_components(spark, kind, sizes):
         best = sorted((-sum(a * b for a, b in zip(ints[q], x, strict=True)), i) for i, x in enumerate(ints) if i != q)[:10]
         want += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best)]
     assert sorted(map(tuple, got)) == want
+
+
+def test_benchmark_in_many_passes(spark):
+    """One item far above the size of a pass is cut into pieces with the same windows."""
+    r = random.Random(8)
+    item = [f"w{r.randrange(500)}" for _ in range(400)]
+    items = [(1, " ".join(item)), (2, "a b c"), (3, None), (4, " ".join(item[100:108]))]
+    docs = [(i, " ".join(["x"] * i + item[i * 7 : i * 7 + 9 + i % 3] + ["y a b c"] * (i % 2))) for i in range(40)] + [(50, None), (51, " ".join(item))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame(items, "item_id long, text string")
+    a, b = ([(x["doc_id"], x["n_words"], x["hit_words"], x["items"]) for x in mark_benchmark(docs, items, pass_bytes=p).orderBy("doc_id").collect()] for p in (1 << 20, 500))
+    assert a == b and sum(bool(x[2]) for x in a) > 20
