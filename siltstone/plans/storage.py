@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+    if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     local = "file://" + tempfile.mkdtemp(prefix="siltstone-")
     spark.sparkContext.setCheckpointDir(local)
