@@ -46,7 +46,7 @@ SKETCHES = 96
 FINE = 48
 SHORT = 75
 TINY = 9
-#: Bits of the classes of words whose frequencies order words; any order is right, rare words first is fast.
+#: Bits of the classes of words whose frequencies order words; any order is right, rare words first is fast.  Which words meet is counted by the words themselves.
 CLASSES = 20
 #: Bits of the parities of words that are compared, in texts of up to as many words, before a pair is verified.
 PARITIES = 1024
@@ -264,12 +264,11 @@ def labelled_words(text: bytes) -> np.ndarray:
 
 
 def rare_words(words: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
-    """The words among which every text that is linked to this one has one, rarest first; of words that no other text has none."""
+    """The words among which every text that is linked to this one has one, rarest first."""
     n = len(words)
     prefix = min(n, int((1 - least) * n + 1e-9) + 1)  # the two texts have at least n - prefix + 1 words in common
     times = often[(words >> _U(64 - CLASSES)).astype(np.int64)]
-    first = np.lexsort((words, times))[:prefix]
-    return words[first[times[first] > 1]]
+    return words[np.lexsort((words, times))[:prefix]]
 
 
 def parities(words: np.ndarray) -> np.ndarray:
@@ -297,31 +296,30 @@ def _often(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _meetings(texts: DataFrame, often: np.ndarray, least: float) -> DataFrame:
-    """(id, word, prev, odd): the rare words of each text (id, t), up to so many rare words before each, and the text's parities."""
+def _rare(texts: DataFrame, often: np.ndarray, least: float) -> DataFrame:
+    """(id, words, odd): the rare words of each text (id, t), rarest first, and the text's parities; a row a text."""
     held = texts.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, words, prev, sizes, odd = [], [], [], [], []
-            for i, t in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True):
-                every = labelled_words(t.encode("utf-8", "surrogatepass"))
-                w = rare_words(every, held.value, least).view(np.int64)
-                if len(w):
-                    at = np.arange(len(w))
-                    size = np.minimum(at, BEFORE[len(every) > PARITIES])
-                    ids.append(np.full(len(w), i))
-                    words.append(w)
-                    sizes.append(size)
-                    odd.append((parities(every), len(w)))
-                    prev.append(w[np.repeat(at - size, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)])
-            none = [np.zeros(0, np.int64)]
-            several = lambda n, x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(none + x)))
-            before = several(np.concatenate(none + sizes), prev)
-            bits = several(np.repeat([len(x) for x, _ in odd], [n for _, n in odd]) if odd else none[0], [np.tile(x, n) for x, n in odd])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + ids)), pa.array(np.concatenate(none + words)), before, bits], ["id", "word", "prev", "odd"])
-
-    return texts.select("id", "t").mapInArrow(run, "id long, word long, prev array<long>, odd array<long>")
+            every = [labelled_words(t.encode("utf-8", "surrogatepass")) for t in b.column("t").to_pylist()]
+            rare = [rare_words(w, held.value, least).view(np.int64) for w in every]
+            odd = [parities(w) for w in every]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rare, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["id", "words", "odd"])
+
+    return texts.select("id", "t").mapInArrow(run, "id long, words array<long>, odd array<long>")
+
+
+def _meetings(rare: DataFrame) -> DataFrame:
+    """(id, word, prev) for each rare word of a text (id, group, label, words) that a text of its group with another label has too, as a
+    hash of both, and up to so many such words before it.  Only thin rows are exchanged: what else the texts have is joined to the words that are left."""
+    thin = rare.select("id", "group", "label", F.posexplode("words").alias("at", "w")).select("id", "label", "at", F.xxhash64("group", "w").alias("word"))
+    shared = thin.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("word")
+    left = thin.join(shared, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))  # at most the rare words of a text
+    rows = left.select("id", F.col("w.word").alias("words")).join(rare.select("id", (F.size("odd") == 0).alias("long")), "id")
+    each = rows.select("id", "words", "long", F.posexplode("words").alias("at", "word"))
+    size = F.least(F.col("at"), F.when(F.col("long"), BEFORE[1]).otherwise(BEFORE[0]))
+    return each.select("id", "word", F.slice("words", F.col("at") - size + 1, size).alias("prev"))
 
 
 def _text_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -369,10 +367,15 @@ def _apart(stars: DataFrame, labels: DataFrame, texts: DataFrame, least: float)
     """Pairs (a, b) of nodes that share a bucket but no label and may be a link; none of the least node of a bucket, which was paired with all."""
     members = stars.select("key", F.col("b").alias("id"), F.col("nb").alias("n")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     members = materialise(members, "members")
-    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    nodes = materialise(members.join(mixed, "key").groupBy("id", "n", "label").agg(F.collect_set("key").alias("keys")), "mixed")  # as many keys as sketches at most
+    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("head")).where("lo <> hi").select("key", "head")
+    some = materialise(members.join(mixed, "key"), "mixed-members")
+    edges = materialise(some.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "bucket-edges")
+    group = components(edges).select("id", F.col("label").alias("group"))  # texts that share a bucket are in one group
+    nodes = some.groupBy("id", "n", "label").agg(F.collect_set("key").alias("keys"))  # as many keys as sketches at most
+    nodes = materialise(nodes.join(group, "id"), "mixed")
     own = materialise(texts.join(nodes.select("id"), "id"), "mixed-texts")
-    rows = materialise(_meetings(own, _often(own), least).join(nodes, "id"), "meetings")
+    rare = materialise(_rare(own, _often(own), least).join(nodes, "id"), "rare")
+    rows = materialise(_meetings(rare).join(rare.drop("words", "group"), "id"), "meetings")
     x, y = rows.alias("x"), rows.alias("y")
     differ = sum((F.bit_count(F.get("x.odd", F.lit(i)).bitwiseXOR(F.get("y.odd", F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
     meets = (
@@ -382,7 +385,7 @@ def _apart(stars: DataFrame, labels: DataFrame, texts: DataFrame, least: float)
         & F.arrays_overlap("x.keys", "y.keys") & ~F.arrays_overlap("x.prev", "y.prev")
     )
     out = materialise(x.join(y, meets).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "apart")
-    discard(members, nodes, own, rows)
+    discard(members, some, edges, nodes, own, rare, rows)
     return out
 
 
