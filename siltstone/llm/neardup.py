@@ -311,15 +311,15 @@ def _rare(texts: DataFrame, often: np.ndarray, least: float) -> DataFrame:
 
 
 def _meetings(rare: DataFrame) -> DataFrame:
-    """(id, word, prev) for each rare word of a text (id, group, label, words) that a text of its group with another label has too, as a
-    hash of both, and up to so many such words before it.  Only thin rows are exchanged: what else the texts have is joined to the words that are left."""
+    """For each rare word of a text (id, group, label, words, ...) that a text of its group with another label has too, a hash of both
+    (word), up to so many such words before it (prev), and the text's other columns.  Only thin rows are exchanged: the rest is joined once a text."""
     thin = rare.select("id", "group", "label", F.posexplode("words").alias("at", "w")).select("id", "label", "at", F.xxhash64("group", "w").alias("word"))
     shared = thin.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("word")
     left = thin.join(shared, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))  # at most the rare words of a text
-    rows = left.select("id", F.col("w.word").alias("words")).join(rare.select("id", (F.size("odd") == 0).alias("long")), "id")
-    each = rows.select("id", "words", "long", F.posexplode("words").alias("at", "word"))
-    size = F.least(F.col("at"), F.when(F.col("long"), BEFORE[1]).otherwise(BEFORE[0]))
-    return each.select("id", "word", F.slice("words", F.col("at") - size + 1, size).alias("prev"))
+    rows = left.select("id", F.col("w.word").alias("words")).join(rare.drop("words", "group"), "id")
+    each = rows.select("*", F.posexplode("words").alias("at", "word"))
+    size = F.least(F.col("at"), F.when(F.size("odd") == 0, BEFORE[1]).otherwise(BEFORE[0]))
+    return each.withColumn("prev", F.slice("words", F.col("at") - size + 1, size)).drop("words", "at")
 
 
 def _text_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -375,7 +375,7 @@ def _apart(stars: DataFrame, labels: DataFrame, texts: DataFrame, least: float)
     nodes = materialise(nodes.join(group, "id"), "mixed")
     own = materialise(texts.join(nodes.select("id"), "id"), "mixed-texts")
     rare = materialise(_rare(own, _often(own), least).join(nodes, "id"), "rare")
-    rows = materialise(_meetings(rare).join(rare.drop("words", "group"), "id"), "meetings")
+    rows = materialise(_meetings(rare), "meetings")
     x, y = rows.alias("x"), rows.alias("y")
     differ = sum((F.bit_count(F.get("x.odd", F.lit(i)).bitwiseXOR(F.get("y.odd", F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
     meets = (
