@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import rules
 from .functions.hashes import fnv1_64_many, spooky64
 from .functions.kernels import FeatureParams
 from .operators import chunk as chunking
@@ -357,7 +358,7 @@ QUERIES = {f.__name__: f for f in (
 
 #: The same over chunks of the two chunkers, which SQL can't follow; tests compare them with brute force.
 CHUNKED = (job_stats, dedup_first, dup_occurrences, dup_group_sizes, dedup_by_lang, stream_ingest, layout_arrival, recipe_rewrite, container_roundtrip, similar_leaders)
-QUERIES |= {f"{m}_{f.__name__}": partial(f, method=m) for m in ("ae", "rabin") for f in CHUNKED}
+QUERIES |= {f"{m}_{f.__name__}": partial(f, method=m) for m in ("ae", "rabin") for f in CHUNKED} | rules.QUERIES
 
 _N = "octet_length(encode(text))"
 _DOCS = f"d as (select doc_id, text, lang, cast({_N} as bigint) as n, sha1(text) as h from documents where text <> '')"
@@ -418,6 +419,8 @@ ORACLE_SQL = {
     "recipe_text": f"with {_DOCS}, {_UNIQUE}, {_PLACED} select d.doc_id, format('Offset: {{}} Size: {{}}', l.packed_offset, d.n) as line from d join l using (h)",
 }
 
+ORACLE_SQL |= rules.ORACLE_SQL
+
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Files, duplicates and unique bytes by language, chunked by asymmetric extremum."""
