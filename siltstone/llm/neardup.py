@@ -42,7 +42,7 @@ from .components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 SAMPLED = 2
-SKETCHES = 96
+SKETCHES = 120
 FINE = 48
 SHORT = 75
 TINY = 9
