@@ -51,7 +51,7 @@ CLASSES = 20
 #: Bits of the parities of words that are compared, in texts of up to as many words, before a pair is verified.
 PARITIES = 1024
 #: Rare words before one that are compared to tell whether two texts met in one of them already, in texts with parities and in longer ones.
-BEFORE = 32, 8
+BEFORE = 128, 8
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -378,10 +378,12 @@ def _apart(stars: DataFrame, labels: DataFrame, texts: DataFrame, least: float)
     rows = materialise(_meetings(rare), "meetings")
     x, y = rows.alias("x"), rows.alias("y")
     differ = sum((F.bit_count(F.get("x.odd", F.lit(i)).bitwiseXOR(F.get("y.odd", F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
+    # of the edits of a link, at least as many as the lengths differ by insert or delete a word, which changes one parity; the others change two at most
+    edits = F.floor(F.greatest("x.n", "y.n") * (1 - least) + 1e-9)
     meets = (
         (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
         & (F.abs(F.col("x.n") - F.col("y.n")) <= F.greatest("x.n", "y.n") * (1 - least) + 1e-9)
-        & F.coalesce(differ <= 2 * (F.greatest("x.n", "y.n") * (1 - least) + 1e-9), F.lit(True))
+        & F.coalesce(differ <= 2 * edits - F.abs(F.col("x.n") - F.col("y.n")), F.lit(True))
         & F.arrays_overlap("x.keys", "y.keys") & ~F.arrays_overlap("x.prev", "y.prev")
     )
     out = materialise(x.join(y, meets).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "apart")
@@ -424,12 +426,16 @@ def _classes(df: DataFrame, key: str, text: str, least: float) -> tuple[DataFram
     """The sketches of rows, and (hash, rep, label) of every text: its least key and its class."""
     spark = df.sparkSession
     small_batches(spark)
-    sigs = materialise(_signatures(df, key, text), "sketches")
-    nodes = materialise(
-        sigs.groupBy("hash").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()), "nodes")
-    buckets = nodes.where(F.size("sig") > 0).select("id", "n", F.explode("sig").alias("key"))
+    wide = materialise(_signatures(df, key, text), "sketches")
+    full = materialise(
+        wide.groupBy("hash").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    sigs = materialise(wide.select("k", "hash"), "texts-of-keys")
+    discard(wide)  # sketches are most of what is written: each table of them goes as soon as it was read
+    buckets = full.where(F.size("sig") > 0).select("id", "n", F.explode("sig").alias("key"))
     near_in_size = (F.abs(F.col("na") - F.col("nb")) <= F.greatest("na", "nb") * (1 - least) + 1e-9)
     stars = materialise(_stars(buckets), "stars")
+    nodes = materialise(full.select("hash", "id", "rep"), "nodes")
+    discard(full)
     pairs = materialise(stars.where(near_in_size).select("a", "b").distinct(), "pairs")
     wanted = materialise(stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct(), "wanted")
     own = nodes.join(wanted, "id", "left_semi").select("id", "hash", F.col("rep").alias("k"))
