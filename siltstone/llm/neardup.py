@@ -15,8 +15,9 @@ the distance is within it.  A bucket whose other nodes are in one component is d
 other buckets are mixed: any two of them that share a bucket and are in different components may still
 be a link, so that a third text never hides one.  A link leaves a text at least so many of its words
 that one of its rarest, a prefix of the words in the order of their frequency among mixed nodes, is
-among those of the other text.  So two mixed nodes are paired where they meet in such a word, share a
-bucket, differ in component and are near in length, at the first word they meet in, unless the parities
+among those of the other text.  A text keeps such a word only if another text that has it has another
+component and may be a link by the lengths and parities (below) of both; words of more than `FEW` texts
+are kept without that.  So two mixed nodes are paired where they meet in such a word, share a bucket, differ in component and are near in length, at the first word they meet in, unless the parities
 of their words by class already differ in more places than a link can change.  Texts that share only a
 frequent passage have rare words of their own and are seldom paired.  Classes are the connected
 components of links.  No bucket is cut or capped.
@@ -29,11 +30,12 @@ only if it has no other); repeated rows each get a row; only the named columns a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, read_table, small_batches
@@ -52,6 +54,8 @@ CLASSES = 20
 PARITIES = 1024
 #: Rare words before one that are compared to tell whether two texts met in one of them already, in texts with parities and in longer ones.
 BEFORE = 128, 8
+#: Texts that meet in a word of which it is told for each whether one of the others may be a link, and those that are gathered at most (by the frequencies above, which are never too low).
+FEW, GATHERED = 64, 1024
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -297,26 +301,47 @@ def _often(texts: DataFrame) -> np.ndarray:
 
 
 def _rare(texts: DataFrame, often: np.ndarray, least: float) -> DataFrame:
-    """(id, words, odd): the rare words of each text (id, t), rarest first, and the text's parities; a row a text."""
-    held = texts.sparkSession.sparkContext.broadcast(often)
+    """(id, words, few, odd): the rare words of each text (id, t), rarest first, how many of them at most `GATHERED` texts have for certain,
+    and the text's parities; a row a text."""
+    held, most = texts.sparkSession.sparkContext.broadcast(often), GATHERED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             every = [labelled_words(t.encode("utf-8", "surrogatepass")) for t in b.column("t").to_pylist()]
-            rare = [rare_words(w, held.value, least).view(np.int64) for w in every]
+            rare = [rare_words(w, held.value, least) for w in every]
+            few = [int((held.value[(w >> _U(64 - CLASSES)).astype(np.int64)] <= most).sum()) for w in rare]
             odd = [parities(w) for w in every]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rare, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["id", "words", "odd"])
+            words = pa.array([w.view(np.int64) for w in rare], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), words, pa.array(few, pa.int64()), pa.array(odd, pa.list_(pa.int64()))], ["id", "words", "few", "odd"])
 
-    return texts.select("id", "t").mapInArrow(run, "id long, words array<long>, odd array<long>")
+    return texts.select("id", "t").mapInArrow(run, "id long, words array<long>, few long, odd array<long>")
 
 
-def _meetings(rare: DataFrame) -> DataFrame:
-    """For each rare word of a text (id, group, label, words, ...) that a text of its group with another label has too, a hash of both
-    (word), up to so many such words before it (prev), and the text's other columns.  Only thin rows are exchanged: the rest is joined once a text."""
-    thin = rare.select("id", "group", "label", F.posexplode("words").alias("at", "w")).select("id", "label", "at", F.xxhash64("group", "w").alias("word"))
-    shared = thin.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("word")
-    left = thin.join(shared, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))  # at most the rare words of a text
-    rows = left.select("id", F.col("w.word").alias("words")).join(rare.drop("words", "group"), "id")
+def _may_link(x: Callable[[str], Column], y: Callable[[str], Column], odd: list[tuple[Column, Column]], least: float) -> Column:
+    """Whether the lengths (n) of two texts and the parities of their words, where both have them, allow a link."""
+    longer, apart = F.greatest(x("n"), y("n")) * (1 - least) + 1e-9, F.abs(x("n") - y("n"))
+    differ = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in odd), F.lit(0))
+    # of the edits of a link, at least as many as the lengths differ by insert or delete a word, which changes one parity; the others change two at most
+    return (apart <= longer) & F.coalesce(differ <= 2 * F.floor(longer) - apart, F.lit(True))
+
+
+def _meetings(rare: DataFrame, least: float) -> DataFrame:
+    """For each rare word of a text (id, n, group, label, words, few, odd, ...) that a text of its group with another label has too, one that may be
+    a link where `FEW` or fewer have it, a hash of group and word (word), up to so many such words before it (prev), and the text's other columns.
+    Only thin rows are exchanged: the rest is joined once a text."""
+    every, folded = PARITIES // 64, 4  # parities of fewer, larger classes of words: their differences are no more
+    odd = [functools.reduce(Column.bitwiseXOR, (F.get("odd", F.lit(i)) for i in range(j, every, folded))).alias(f"p{j}") for j in range(folded)]
+    thin = rare.select("id", "group", "label", "n", "few", *odd, F.posexplode("words").alias("at", "w")).withColumn("word", F.xxhash64("group", "w"))
+    lo_hi = F.min("label").alias("lo"), F.max("label").alias("hi")
+    some = thin.where("at < few").groupBy("word").agg(*lo_hi, F.collect_list(F.struct("id", "at", "label", "n", *(f"p{j}" for j in range(folded)))).alias("of")).where("lo <> hi")
+    linkable = lambda x, y: (x["label"] != y["label"]) & _may_link(x.getField, y.getField, [(x[f"p{j}"], y[f"p{j}"]) for j in range(folded)], least)
+    of = F.when(F.size("of") <= FEW, F.filter("of", lambda x: F.exists("of", lambda y: linkable(x, y)))).otherwise(F.col("of"))
+    some = some.select("word", F.explode(of).alias("x")).select("x.id", "x.at", "word")
+    frequent = thin.where("at >= few").select("id", "label", "at", "word")
+    shared = frequent.groupBy("word").agg(*lo_hi).where("lo <> hi").select("word")
+    both = some.unionByName(frequent.join(shared, "word").select("id", "at", "word"))
+    left = both.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))  # at most the rare words of a text
+    rows = left.select("id", F.col("w.word").alias("words")).join(rare.drop("words", "few", "group"), "id")
     each = rows.select("*", F.posexplode("words").alias("at", "word"))
     size = F.least(F.col("at"), F.when(F.size("odd") == 0, BEFORE[1]).otherwise(BEFORE[0]))
     return each.withColumn("prev", F.slice("words", F.col("at") - size + 1, size)).drop("words", "at")
@@ -375,15 +400,12 @@ def _apart(stars: DataFrame, labels: DataFrame, texts: DataFrame, least: float)
     nodes = materialise(nodes.join(group, "id"), "mixed")
     own = materialise(texts.join(nodes.select("id"), "id"), "mixed-texts")
     rare = materialise(_rare(own, _often(own), least).join(nodes, "id"), "rare")
-    rows = materialise(_meetings(rare), "meetings")
+    rows = materialise(_meetings(rare, least), "meetings")
     x, y = rows.alias("x"), rows.alias("y")
-    differ = sum((F.bit_count(F.get("x.odd", F.lit(i)).bitwiseXOR(F.get("y.odd", F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
-    # of the edits of a link, at least as many as the lengths differ by insert or delete a word, which changes one parity; the others change two at most
-    edits = F.floor(F.greatest("x.n", "y.n") * (1 - least) + 1e-9)
+    odd = [(F.get("x.odd", F.lit(i)), F.get("y.odd", F.lit(i))) for i in range(PARITIES // 64)]
+    of = lambda side: lambda name: F.col(f"{side}.{name}")
     meets = (
-        (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
-        & (F.abs(F.col("x.n") - F.col("y.n")) <= F.greatest("x.n", "y.n") * (1 - least) + 1e-9)
-        & F.coalesce(differ <= 2 * edits - F.abs(F.col("x.n") - F.col("y.n")), F.lit(True))
+        (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & _may_link(of("x"), of("y"), odd, least)
         & F.arrays_overlap("x.keys", "y.keys") & ~F.arrays_overlap("x.prev", "y.prev")
     )
     out = materialise(x.join(y, meets).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "apart")

@@ -252,6 +252,55 @@ def test_no_third_text_hides_a_link(spark):
     assert {x["doc_id"]: x["class_id"] for x in got} == dict(enumerate(label))
 
 
+def passage_and_vocabulary(count=240, words=60, vocabulary=1500):
+    """Texts that share a passage and, by chance, rare words; every eighth has a near copy, of which no shingle outside the passage is left."""
+    r, passage, texts = random.Random(11), " ".join(f"w{i}" for i in range(50)), []
+    for i in range(count):
+        w = [f"v{r.randrange(vocabulary)}" for _ in range(words)]
+        texts.append(f"{passage} {' '.join(w)}")
+        if i % 8 == 0:
+            texts.append(f"{passage} {' '.join(f'z{i}y{j}' if j % 4 == 0 else x for j, x in enumerate(w))}")
+    return texts
+
+
+def test_words_met_by_chance_are_dropped(spark, monkeypatch):
+    """Rows of the join by rare words are of texts that may be links, not of all that have a word in common."""
+    seen, real = {}, neardup.materialise
+
+    def counted(df, tag):
+        out = real(df, tag)
+        seen[tag] = out.count() if tag in ("meetings", "rare") else None
+        return out
+
+    monkeypatch.setattr(neardup, "materialise", counted)
+    texts = passage_and_vocabulary()
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    at = [i for i, t in enumerate(texts) if "z" in t]
+    assert {x["doc_id"]: x["class_id"] for x in got} == {i: i - (i in at) for i in range(len(texts))}
+    assert seen["rare"] > 200 and seen["meetings"] < 10 * seen["rare"], seen
+
+
+@pytest.mark.parametrize(("few", "gathered"), [(64, 1024), (2, 1024), (64, 20), (64, 0)])
+def test_meetings_keep_every_link(spark, monkeypatch, few, gathered):
+    """Words that many texts have are kept whole, gathered or not: any two texts that may be a link and have a rare word in common meet."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "GATHERED", gathered)
+    r, texts = random.Random(3), passage_and_vocabulary(80, vocabulary=300)
+    base = [f"b{i}" for i in range(110)]
+    for i in range(60):  # near copies of one text, some links and some not, of different lengths
+        w = [f"c{i}y{j}" if r.random() < 0.11 else x for j, x in enumerate(base)]
+        texts.append(" ".join(w[: 110 - r.randrange(12)]))
+    texts += [" ".join(f"k{i % 5}l{j}" if j % 11 else f"m{i}" for j in range(1100 + i)) for i in range(10)]  # more words than have parities
+    frame = spark.createDataFrame([(i, t, i, 0, len(t.split())) for i, t in enumerate(texts)], "id long, t string, label long, `group` long, n long")
+    often = neardup._often(frame)
+    rare = neardup._rare(frame, often, 0.8).join(frame.drop("t"), "id")
+    met: dict = {}
+    for x in neardup._meetings(neardup.materialise(rare, "rare"), 0.8).collect():
+        met.setdefault(x["id"], set()).add(x["word"])
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if neardup.similar(texts[i], texts[j])]
+    assert len(links) > 100 and all(met.get(i, set()) & met.get(j, set()) for i, j in links)
+
+
 def test_components_of_leaves_with_two_centres(spark):
     """Links that one round turns into two stars which share a leaf: at once, and split over two calls."""
     first, second, schema = [(4, 0), (7, 3)], [(7, 2), (4, 3)], "a long, b long"
