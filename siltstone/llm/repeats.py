@@ -23,6 +23,8 @@ it covers is removed.  Matches never cross texts.
 
 A number of words may be given besides: then repeated strings of so many words (between ASCII white space)
 go too where they are shorter than LENGTH.  These are counted one by one by 128-bit hash; longer ones hold a window.
+Or such strings, of any length in bytes, are counted apart and nothing more goes: words then make cells as bytes do,
+anchored at the least hash of `GRAM_WORDS` words, and only the strings of mixed cells are counted one by one.
 
 `LENGTH` may be any from 128 bytes on.  Hashes stand for equality only at 128 bits.
 
@@ -33,6 +35,7 @@ an empty table gives no rows; only the named columns are read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -47,14 +50,18 @@ LENGTH = 400
 GRAM = 24
 WIDE = 64
 GROUP = 10_000
+#: Words of a passage that is counted apart, and of its anchor.
+WORDS = 51
+GRAM_WORDS = 8
 #: Bytes of a text hashed at a time.
 STRETCH = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 _FAR = _U(0xFFFFFFFFFFFFFFFF)
-_SPACES = np.zeros(256, bool)
-_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_WORDS = np.ones(256, bool)
+_WORDS[[0x20, *range(0x09, 0x0E)]] = False
 _POS = 20  # bits of a position in a stretch
 
 
@@ -76,10 +83,8 @@ def _grams(b: np.ndarray) -> np.ndarray:
         return _mixed(h)
 
 
-def _anchors(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor position of each window and all substring hashes; b is one stretch."""
-    h = _grams(b)
-    wide = length - GRAM + 1
+def _least(h: np.ndarray, wide: int) -> np.ndarray:
+    """The position of the leftmost least of every `wide` hashes in a row; h is one stretch."""
     v = h >> _U(_POS) << _U(_POS) | np.arange(len(h), dtype=np.uint64)
     n = len(h) - wide + 1
     x = np.full(-(-len(h) // wide) * wide, _FAR)
@@ -87,7 +92,13 @@ def _anchors(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     x = x.reshape(-1, wide)
     ahead = np.minimum.accumulate(x, 1).reshape(-1)
     back = np.minimum.accumulate(x[:, ::-1], 1)[:, ::-1].reshape(-1)
-    return (np.minimum(back[:n], ahead[wide - 1 : wide - 1 + n]) & _U((1 << _POS) - 1)).astype(np.int64), h
+    return (np.minimum(back[:n], ahead[wide - 1 : wide - 1 + n]) & _U((1 << _POS) - 1)).astype(np.int64)
+
+
+def _anchors(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor position of each window and all substring hashes; b is one stretch."""
+    h = _grams(b)
+    return _least(h, length - GRAM + 1), h
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,6 +117,59 @@ def cells(raw: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int, boo
         yield from zip(kind[start].view(np.int64).tolist(), (start + base).tolist(), (stop - start).tolist(), several.tolist(), strict=True)
 
 
+def word_bounds(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of each word and the byte after it."""
+    inside = np.zeros(len(b) + 2, bool)
+    inside[1:-1] = _WORDS[b]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2]
+
+
+@functools.cache
+def _powers(base: int) -> np.ndarray:
+    out = np.full(STRETCH, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _spans_hashed(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes in spans (both sorted), from sums over all bytes before; a stretch of bytes at a time."""
+    if len(b) < STRETCH:
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b + _U(1)) * _powers(_BACK)[: len(b)], out=sums[1:])
+        return _mixed((sums[stop] - sums[start]) * _powers(_BASE)[start])
+    total, at_start, at_stop = 0, np.zeros(len(start), np.uint64), np.zeros(len(stop), np.uint64)
+    for base in range(0, len(b) + 1, STRETCH):
+        x = b[base : base + STRETCH].astype(np.uint64) + _U(1)
+        x *= _powers(_BACK)[: len(x)]
+        sums = np.concatenate([[_U(total)], np.cumsum(x, dtype=np.uint64) * _U(pow(_BACK, base, 1 << 64)) + _U(total)])
+        for at, out in ((start, at_start), (stop, at_stop)):
+            own = slice(*np.searchsorted(at, (base, base + STRETCH)))
+            out[own] = sums[at[own] - base]
+        total = int(sums[-1])
+    power = np.fromiter((pow(_BASE, i * STRETCH, 1 << 64) for i in range(len(b) // STRETCH + 1)), np.uint64)
+    return _mixed((at_stop - at_start) * _powers(_BASE)[start % STRETCH] * power[start // STRETCH])
+
+
+def word_cells(raw: bytes, words: int = WORDS) -> Iterator[tuple[int, int, int, bool]]:
+    """(anchor hash, first byte, bytes, whether several places hold that hash) for the cells of a text's strings of so many words."""
+    b = np.frombuffer(raw, np.uint8)
+    start, stop = word_bounds(b)
+    gram = min(GRAM_WORDS, words)
+    wide, n = words - gram + 1, len(start) - words + 1
+    if n < 1:
+        return
+    h = _spans_hashed(b, start[: len(start) - gram + 1], stop[gram - 1 :])
+    for base in range(0, n, STRETCH):
+        own = h[base : base + STRETCH + wide - 1]
+        at = _least(own, wide)
+        kind = own[at]
+        s, e = _runs(kind)
+        first = start[base + s]
+        several = at[s] != at[e - 1]
+        yield from zip(kind[s].view(np.int64).tolist(), first.tolist(), (stop[base + e + words - 2] - first).tolist(), several.tolist(), strict=True)
+
+
 def sub_cells(x: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
     """(anchor position, offset group, core, left bytes, right bytes) of the sub-cells of a mixed cell's bytes."""
     for base in range(0, len(x) - length + 1, STRETCH):
@@ -230,6 +294,23 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def _measured(spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's spans (first, n): the maximal runs, touching ones as one, and the bytes they cover."""
+    size = spans.value_lengths().to_numpy(zero_copy_only=False)
+    flat = spans.flatten()
+    far = np.repeat(np.arange(len(size)), size) << np.int64(40)  # rows lie apart
+    start = flat.field("first").to_numpy() + far
+    by = np.argsort(start, kind="stable")
+    start, stop = start[by], np.maximum.accumulate((start + flat.field("n").to_numpy())[by])
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > stop[:-1]])[: len(start)])
+    row = start[new] >> np.int64(40)
+    covers = stop[np.append(new[1:], len(start))[: len(new)] - 1] - start[new]
+    runs, total = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    np.add.at(runs, row, 1)
+    np.add.at(total, row, covers)
+    return runs, total
+
+
 def _mask_runs(p: int, g: int, mask: int) -> list[tuple[int, int]]:
     """Windows of a sub-cell's mask, as runs."""
     out = []
@@ -251,8 +332,9 @@ def _halves(digests: list[bytes]) -> list[pa.Array]:
     return [pa.array(both[:, 0]), pa.array(both[:, 1])]
 
 
-def _list_cells(df: DataFrame, text: str, length: int) -> DataFrame:
-    """Cells of all texts: anchor hash, 128-bit hash of the cell's bytes, the text's hash, first window, windows, several, occurrences."""
+def _list_cells(df: DataFrame, text: str, length: int, words: int = 0) -> DataFrame:
+    """Cells of all texts: anchor hash, 128-bit hash of the cell's bytes, the text's hash, first window, windows, several, occurrences, whether it is a cell
+    of bytes; of words: its first byte and its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -262,24 +344,26 @@ def _list_cells(df: DataFrame, text: str, length: int) -> DataFrame:
             texts: dict[str, int] = {}
             for t in b.column("t").to_pylist():
                 texts[t] = texts.get(t, 0) + 1
-            kind, own, whose, first, n, several, times = [], [], [], [], [], [], []
+            kind, own, whose, first, n, several, times, plain = [], [], [], [], [], [], [], []
             for t, m in texts.items():
                 raw = t.encode("utf-8", "surrogatepass")
                 name = digest(raw)
-                for k, s, z, many in cells(raw, length):
-                    kind.append(k)
-                    own.append(digest(raw[s : s + z - 1 + length]))
-                    whose.append(name)
-                    first.append(s)
-                    n.append(z)
-                    several.append(many)
-                    times.append(m)
+                for by, more, found in ((True, length - 1, cells(raw, length)), (False, 0, word_cells(raw, words) if words else ())):
+                    for k, s, z, many in found:
+                        kind.append(k)
+                        own.append(digest(raw[s : s + z + more]))
+                        whose.append(name)
+                        first.append(s)
+                        n.append(z)
+                        several.append(many)
+                        times.append(m)
+                        plain.append(by)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kind, pa.int64()), *_halves(own), *_halves(whose), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(several, pa.bool_()), pa.array(times, pa.int64())],
-                ["kind", "h1", "h2", "t1", "t2", "first", "n", "several", "times"])
+                [pa.array(kind, pa.int64()), *_halves(own), *_halves(whose), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(several, pa.bool_()), pa.array(times, pa.int64()), pa.array(plain, pa.bool_())],
+                ["kind", "h1", "h2", "t1", "t2", "first", "n", "several", "times", "plain"])
 
-    long = df.where(F.octet_length(text) >= length).select(F.col(text).alias("t"))
-    return long.mapInArrow(run, "kind long, h1 long, h2 long, t1 long, t2 long, first long, n long, several boolean, times long")
+    long = df.where(F.octet_length(text) >= (min(length, 2 * words - 1) if words else length)).select(F.col(text).alias("t"))
+    return long.mapInArrow(run, "kind long, h1 long, h2 long, t1 long, t2 long, first long, n long, several boolean, times long, plain boolean")
 
 
 def _hash_texts(df: DataFrame, key: str, text: str, carry: list[str]) -> DataFrame:
@@ -297,9 +381,7 @@ def _hash_texts(df: DataFrame, key: str, text: str, carry: list[str]) -> DataFra
 
 def short_passages(raw: bytes, words: int, length: int) -> list[tuple[int, int]]:
     """(first byte, bytes) of all strings of so many words that are shorter than `length`."""
-    space = _SPACES[np.frombuffer(raw, np.uint8)]
-    edge = np.diff(np.concatenate([[1], space.astype(np.int8), [1]]))
-    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    start, stop = word_bounds(np.frombuffer(raw, np.uint8))
     size = stop[words - 1 :] - start[: max(0, len(start) - words + 1)]
     own = np.flatnonzero(size < length)
     return list(zip(start[own].tolist(), size[own].tolist(), strict=True))
@@ -332,6 +414,43 @@ def _list_short(df: DataFrame, text: str, words: int, length: int) -> DataFrame:
     return out
 
 
+def _list_loose(pending: DataFrame, words: int) -> DataFrame:
+    """(id, spans): the strings of so many words in the mixed cells of pending texts that several places hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
+        own, ids, first, n = [], [], [], []
+
+        def taken() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([*_halves(own), *[pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (ids, first, n)]], ["h1", "h2", "id", "first", "n"])
+            for x in (own, ids, first, n):
+                x.clear()
+            return out
+
+        for b in batches:
+            for i, t, loose in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), b.column("loose").to_pylist(), strict=True):
+                raw = t.encode("utf-8", "surrogatepass")
+                for c in loose:
+                    x = raw[c["first"] : c["first"] + c["n"]]
+                    start, stop = word_bounds(np.frombuffer(x, np.uint8))
+                    start, stop = start[: len(start) - words + 1], stop[words - 1 :]
+                    own += [digest(x[s:e]) for s, e in zip(start.tolist(), stop.tolist(), strict=True)]
+                    first.append(start + c["first"])
+                    n.append(stop - start)
+                    ids.append(np.full(len(start), i))
+                    if len(own) > 1 << 16:
+                        yield taken()
+        yield taken()
+
+    listed = materialise(pending.mapInArrow(run, "h1 long, h2 long, id long, first long, n long"), "loose")
+    twice = materialise(listed.groupBy("h1", "h2").agg(F.count("*").alias("all")).where("all > 1").select("h1", "h2"), "twice")  # so that the join can split a hot one
+    out = materialise(listed.join(twice, ["h1", "h2"]).groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("found")), "spans")
+    discard(listed, twice)
+    return out
+
+
 def _list_sub_cells(pending: DataFrame, length: int, with_bytes: bool) -> DataFrame:
     """Sub-cells of the mixed cells of pending texts: core hash, hash of the compressed text, and either that text or its place."""
     more = "left binary, right binary" if with_bytes else "id long, p long, g int"
@@ -438,43 +557,53 @@ def _masks(classes: DataFrame, group: int, wide: int = WIDE) -> DataFrame:
     return _index_groups(classes.join(large, ["g1", "g2"], "left_anti"), wide).unionByName(found)
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), group: int = GROUP, words: int = 0) -> DataFrame:
-    """(key, carried columns, n_bytes, spans, kept) of every row: the removed byte spans and the bytes that stay."""
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), group: int = GROUP, words: int = 0, apart: bool = False) -> DataFrame:
+    """Every row with its text and what is found in it: cells of repeated windows only, marks of mixed ones, and spans of strings of so many words
+    (those shorter than `length`, or with `apart` all, by cells)."""
     spark = df.sparkSession
     small_batches(spark)
-    listed = materialise(_list_cells(df, text, length), "cells")
+    listed = materialise(_list_cells(df, text, length, words if apart else 0), "cells")
     kinds = listed.groupBy("kind").agg(
         F.sum("times").alias("all"), F.max("several").alias("any"), ((F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2"))).alias("differ")
     ).where("all > 1 or any").select("kind", (F.col("any") | F.col("differ")).alias("mixed"))
-    found = listed.select("kind", "t1", "t2", "first", "n").join(kinds, "kind").groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "n", "mixed")).alias("cells"))
-    short = _list_short(df, text, words, length) if words else None
-    found = found.join(short, ["t1", "t2"], "full") if words else found.withColumn("spans", F.lit(None).cast("array<struct<first:bigint,n:bigint>>"))
+    found = listed.select("kind", "t1", "t2", "first", "n", "plain").join(kinds, "kind").groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "n", "mixed", "plain")).alias("cells"))
+    some = lambda plain, mixed: F.transform(F.filter("cells", lambda c: (c["plain"] == plain) & (c["mixed"] == mixed)), lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n")))
+    short = _list_short(df, text, words, length) if words and not apart else None
+    found = found.join(short, ["t1", "t2"], "full") if short is not None else found.withColumn("spans", some(False, False))
     found = materialise(found, "found")  # so that the join below can split the rows of a text with many copies
     texts = _hash_texts(df, key, text, list(carry)).join(found, ["t1", "t2"], "left")
-    some = lambda yes: F.transform(F.filter("cells", lambda c: c["mixed"] if yes else ~c["mixed"]), lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n")))
     empty = F.array().cast("array<struct<first:bigint,n:bigint>>")
     table = materialise(
-        texts.select("k", "t", "rest", "spans", F.coalesce(some(False), empty).alias("whole"), F.coalesce(some(True), empty).alias("mixed")).withColumn("id", F.monotonically_increasing_id()), "repeats")
-    discard(listed, found, *([short] if words else []))
+        texts.select("k", "t", "rest", "spans", *[F.coalesce(some(*x), empty).alias(c) for c, x in (("whole", (True, False)), ("mixed", (True, True)), ("loose", (False, True)))]).withColumn("id", F.monotonically_increasing_id()), "repeats")
+    discard(listed, found, *([short] if short is not None else []))
     pending = table.where(F.size("mixed") > 0).select("id", "t", "mixed")
     classes = materialise(_list_sub_cells(pending, length, True).groupBy("g1", "g2", "c1", "c2", "left", "right").agg(F.count("*").alias("times")), "classes")
     masks = _masks(classes, group)
     places = _list_sub_cells(pending, length, False).join(masks, ["c1", "c2"]).groupBy("id").agg(F.collect_list(F.struct("p", "g", "mask")).alias("masks"))
-    whole = table.where(F.size("mixed") == 0).withColumn("masks", F.array().cast("array<struct<p:bigint,g:int,mask:bigint>>"))
-    mixed = table.where(F.size("mixed") > 0).join(places, "id", "left")
-    return mixed.select("k", "t", "rest", "whole", "masks", "spans").unionByName(whole.select("k", "t", "rest", "whole", "masks", "spans"))
-
-
-def _finish(rows: DataFrame, key: str, carry: tuple[str, ...], length: int, form: str) -> DataFrame:
+    if apart:
+        loose = _list_loose(table.where(F.size("loose") > 0).select("id", "t", "loose"), words)
+        places = places.join(loose, "id", "full")
+    else:
+        places = places.withColumn("found", F.lit(None).cast("array<struct<first:bigint,n:bigint>>"))
+    open_ = (F.size("mixed") > 0) | (F.size("loose") > 0)
+    whole = table.where(~open_).withColumn("masks", F.array().cast("array<struct<p:bigint,g:int,mask:bigint>>")).withColumn("found", empty)
+    mixed = table.where(open_).join(places, "id", "left")
+    columns = ["k", "t", "rest", "whole", "masks", F.concat(F.coalesce("spans", empty), F.coalesce("found", empty)).alias("spans")]
+    return mixed.select(*columns).unionByName(whole.select(*columns))
+
+
+def _finish(rows: DataFrame, key: str, carry: tuple[str, ...], length: int, form: str, apart: bool) -> DataFrame:
     """Results of every row: counts and what stays."""
+    more = ["n_passages", "n_passage_bytes"] if apart else []
     kinds = {"bytes": (pa.binary(), "binary", bytes), "text": (pa.string(), "string", lambda x: x.decode("utf-8", "ignore")), "sha256": (pa.string(), "string", lambda x: hashlib.sha256(x).hexdigest())}
     kind, sql, made = kinds[form]
-    schema = f"k {rows.schema['k'].dataType.simpleString()}, rest {rows.schema['rest'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept {sql}"
+    schema = f"k {rows.schema['k'].dataType.simpleString()}, rest {rows.schema['rest'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept {sql}" + "".join(f", {c} long" for c in more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, spans, kept = [], [], [], []
-            for t, whole, masks, short in zip(*[b.column(c).to_pylist() for c in ("t", "whole", "masks", "spans")], strict=True):
+            shorts = [()] * b.num_rows if apart else b.column("spans").to_pylist()
+            for t, whole, masks, short in zip(*[b.column(c).to_pylist() for c in ("t", "whole", "masks")], shorts, strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
                 windows = [(c["first"], c["first"] + c["n"]) for c in whole]
                 for m in masks or ():
@@ -491,19 +620,20 @@ def _finish(rows: DataFrame, key: str, carry: tuple[str, ...], length: int, form
                 spans.append(len(cut))
                 kept.append(made(left))
             yield pa.RecordBatch.from_arrays(
-                [b.column("k"), b.column("rest"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, kind)],
-                ["k", "rest", "n_bytes", "n_removed", "n_spans", "kept"])
+                [b.column("k"), b.column("rest"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, kind), *[pa.array(x) for x in (_measured(b.column("spans")) if apart else ())]],
+                ["k", "rest", "n_bytes", "n_removed", "n_spans", "kept", *more])
 
     out = rows.select("k", "t", "rest", "whole", "masks", "spans").mapInArrow(run, schema)
-    return out.select(F.col("k").alias(key), *[F.col(f"rest.c{j}").alias(c) for j, c in enumerate(carry)], "n_bytes", "n_removed", "n_spans", "kept")
+    return out.select(F.col("k").alias(key), *[F.col(f"rest.c{j}").alias(c) for j, c in enumerate(carry)], "n_bytes", "n_removed", "n_spans", "kept", *more)
 
 
-def kept_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), form: str = "bytes", group: int = GROUP, words: int = 0) -> DataFrame:
+def kept_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), form: str = "bytes", group: int = GROUP, words: int = 0, apart: bool = False) -> DataFrame:
     """(key, carried columns, n_bytes, n_removed, n_spans, kept) of every row; kept is the remaining bytes, as form says:
-    `bytes`, `text` (of a character that a cut divides nothing stays) or their `sha256`."""
-    return _finish(remove_repeats(df, key, text, length, carry, group, words), key, carry, length, form)
+    `bytes`, `text` (of a character that a cut divides nothing stays) or their `sha256`.  With `apart` repeated strings of so many
+    words stay, and n_passages and n_passage_bytes follow: the maximal runs of bytes that they cover and those bytes."""
+    return _finish(remove_repeats(df, key, text, length, carry, group, words, apart), key, carry, length, form, apart)
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without their repeated strings of 400 bytes."""
-    return kept_bytes(read_table(spark, sf_dir, "documents"), form="sha256").withColumnRenamed("kept", "kept_sha256")
+    """All documents without their repeated strings of 400 bytes; beside these, what repeated strings of 51 words cover, which may be shorter and stay."""
+    return kept_bytes(read_table(spark, sf_dir, "documents"), form="sha256", words=WORDS, apart=True).withColumnRenamed("kept", "kept_sha256")

@@ -407,3 +407,27 @@ def test_benchmark_in_many_passes(spark):
     items = spark.createDataFrame(items, "item_id long, text string")
     a, b = ([(x["doc_id"], x["n_words"], x["hit_words"], x["items"]) for x in mark_benchmark(docs, items, pass_bytes=p).orderBy("doc_id").collect()] for p in (1 << 20, 500))
     assert a == b and sum(bool(x[2]) for x in a) > 20
+
+
+def test_word_cells(monkeypatch):
+    """Cells cover all strings of so many words once; equal strings have one anchor hash, also where a text is hashed in several stretches."""
+    r = random.Random(3)
+    text = lambda n: r.choice(["", " ", "\n"]) + "".join(r.choice(["a", "bc", "d" * 30, "é"]) + r.choice([" ", "  ", "\t"]) for _ in range(n))
+    part = text(70).strip()
+    raws = [x.encode() for x in ("", "one", text(200) + part + " " + text(90), part, text(9) + part, "ab " * 300)]
+    for stretch in (repeats.STRETCH, 64):
+        monkeypatch.setattr(repeats, "STRETCH", stretch)
+        repeats._powers.cache_clear()
+        kind = {}
+        for raw in raws:
+            start, stop = repeats.word_bounds(np.frombuffer(raw, np.uint8))
+            want = [(s, e) for s, e in zip(start.tolist(), stop[50:].tolist())]
+            got = []
+            for k, s, n, _ in repeats.word_cells(raw):
+                own = [(a, z) for a, z in want if s <= a and z <= s + n]
+                assert own[0][0] == s and own[-1][1] == s + n
+                for a, z in own:
+                    assert kind.setdefault(raw[a:z], k) == k
+                got += own
+            assert got == want
+    repeats._powers.cache_clear()

@@ -125,6 +125,35 @@ def test_op5_large_groups(spark, folder):
     assert ordered(map(str, a.itertuples(index=False, name=None))) == ordered(map(str, b.itertuples(index=False, name=None)))
 
 
+def passages(raws, words):
+    """Maximal runs and bytes of each text that repeated strings of so many words cover, one string at a time."""
+    at = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)] for raw in raws]
+    strings = [[(w[i][0], w[i + words - 1][1]) for i in range(len(w) - words + 1)] for w in at]
+    seen = collections.Counter(raw[s:e] for raw, own in zip(raws, strings) for s, e in own)
+    out = []
+    for raw, own in zip(raws, strings):
+        gone = np.zeros(len(raw) + 1, np.int8)
+        for s, e in own:
+            if seen[raw[s:e]] > 1:
+                gone[s:e] = 1
+        out.append((int((np.diff(gone, prepend=0) == 1).sum()), int(gone.sum())))
+    return out
+
+
+def test_op5_passages(spark, folder, tmp_path):
+    """A repeated passage of 51 words is reported at whatever length in bytes, one of 50 is not; what is removed stays by 400 bytes."""
+    got = run(spark, folder, "op5_repeats")
+    want = passages([(t or "").encode() for _, t, _, _ in ROWS], 51)
+    assert ordered(zip(map(clean, got.doc_id), got.n_passages, got.n_passage_bytes)) == ordered((r[0], *p) for r, p in zip(ROWS, want))
+    text = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    one, two = text("a", 51), text("b", 50)
+    rows = [(1, f"{text('c', 90)} {one} x {two} y"), (2, f"{one}\n{text('d', 70)}"), (3, f"z {two} {text('e', 80)}"), (4, text("f", 200)), (5, "u " * 60), (6, None), (7, f"v {text('a', 40)}  {text('a', 51)}")]
+    rows = [(k, t, "en", "src") for k, t in rows]
+    small = run(spark, saved(spark, rows, str(tmp_path)), "op5_repeats")
+    assert {r.doc_id: (r.n_removed, r.n_passages, r.n_passage_bytes) for r in small.itertuples()} == {
+        1: (0, 1, len(one)), 2: (0, 1, len(one)), 3: (0, 0, 0), 4: (0, 0, 0), 5: (0, 1, 119), 6: (0, 0, 0), 7: (0, 1, len(one))}
+
+
 def test_op6(spark, folder):
     got = run(spark, folder, "op6_lattice")
     held = lambda k: True if k is None else crc(k) % 7 == 2
